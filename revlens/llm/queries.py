@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing
+from . import line_dedup, mixing, packing, simhash
 from .common import table
 
 
@@ -18,5 +18,9 @@ def op6_mixing(spark, sf_dir):
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_packing, op6_mixing)}
+def op10_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_packing, op6_mixing, op10_simhash)}
 ORACLE_SQL = {"op2_line_dedup": line_dedup.SQL, "op6_mixing": mixing.SQL}
