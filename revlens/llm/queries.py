@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, packing, simhash
+from . import line_dedup, mixing, packing, quality, simhash
 from .common import table
 
 
@@ -18,9 +18,13 @@ def op6_mixing(spark, sf_dir):
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark, sf_dir):
+    return quality.within_limits(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_packing, op6_mixing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_packing, op6_mixing, op8_quality, op10_simhash)}
 ORACLE_SQL = {"op2_line_dedup": line_dedup.SQL, "op6_mixing": mixing.SQL}
