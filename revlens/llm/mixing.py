@@ -71,6 +71,7 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     """
     name, last, key = (fresh(docs, c) for c in ("mix_source", "mix_last", "mix_key"))
     ends = schedule(docs, **parameters).groupBy("source").agg(F.max("key").alias(last)).withColumnRenamed("source", name)
+    ends = written(ends, "mixing")  # so that its size is known to the optimizer, which broadcasts it if small
     keyed = docs.withColumn(key, shuffle_key(F.col("doc_id"), parameters.get("seed", SEED)))
     sent = keyed.join(ends, (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col(name)) & (F.col(key) <= F.col(last)))
     return sent.select(*docs.columns)

@@ -138,5 +138,6 @@ def keep_within_limits(docs: DataFrame, distance: float = DISTANCE, **parameters
     """The documents that within_limits() keeps, all columns kept; the texts are not shuffled."""
     table, rates = statistics(docs)
     estimates = fit(table, rates, **parameters)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "lang", "source", *counts(F.col("text")))
+    # through a generator, so that the optimizer doesn't repeat the counts wherever they are used
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "lang", "source", F.inline(F.array(F.struct(*counts(F.col("text"))))))
     return _judged(rows, estimates, rates, distance).select("row.*")

@@ -153,8 +153,9 @@ def exact(h: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray,
 def shard_edges(h: np.ndarray, order: np.ndarray, radius: int = RADIUS, window: int = 16, beam: int = BEAM) -> np.ndarray:
     """Edges (rows of two indices into h) within the radius among a shard's distinct hashes.
 
-    Each node is a query. Its beam doubles as long as everything in it is within the radius. Of the partners beyond the
-    first beam, only those edges are returned that connect what isn't connected yet.
+    Each node is a query. Its beam doubles as long as everything in it is within the radius. Returned are the edges to
+    each node's two nearest, and of the others, nearest first, those that connect what isn't connected yet: groups need no
+    more, and a group of m copies doesn't give m * m edges.
     """
     n = len(h)
     place = np.argsort(permuted(h, order), kind="stable")
@@ -162,17 +163,23 @@ def shard_edges(h: np.ndarray, order: np.ndarray, radius: int = RADIUS, window:
     if n <= 2 * window:
         a, b = exact(h, np.arange(n), radius)
         near = np.ones(len(a), bool)
+        dist = distance(h[a], h[b])
     else:
         links, queries, width, parts = graph(h, window), np.arange(n), beam, []
         while len(queries):
-            nodes, dist = search(h, links, queries, width)
-            i, j = np.nonzero(dist <= radius)
-            parts.append((queries[i], nodes[i, j].astype(np.int64), np.full(len(i), width == beam)))
-            full = dist[:, -1] <= radius
+            nodes, d = search(h, links, queries, width)
+            i, j = np.nonzero(d <= radius)
+            parts.append((queries[i], nodes[i, j].astype(np.int64), d[i, j], (j < 2) & (width == beam)))
+            full = d[:, -1] <= radius
             queries, width = (queries[full] if width < n else queries[:0]), 2 * width
-        a, b, near = (np.concatenate(x) for x in zip(*parts))
+        a, b, dist, near = (np.concatenate(x) for x in zip(*parts))
     label = roots(n, a[near], b[near])
-    use = near | (label[a] != label[b])
+    use = near.copy()
+    for level in range(radius + 1):
+        more = (dist == level) & (label[a] != label[b])
+        if more.any():
+            use |= more
+            label = roots(n, a[use], b[use])
     edge = np.unique(np.minimum(a[use], b[use]) * n + np.maximum(a[use], b[use]))
     return np.stack((place[edge // n], place[edge % n]), axis=1)
 
@@ -284,4 +291,5 @@ def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """The documents without those that near_duplicates() groups, but for the one of the smallest doc_id; all columns stay."""
     name = fresh(docs, "near_copy")
     gone = near_duplicates(docs, **parameters).where("doc_id <> group_id").select(F.col("doc_id").alias(name)).distinct()
+    gone = written(gone, "simhash")  # so that its size is known to the optimizer
     return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
