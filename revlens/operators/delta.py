@@ -72,7 +72,11 @@ def gathered(revisions: DataFrame, log: DataFrame) -> DataFrame:
 
 def log_of(deltas: DataFrame) -> DataFrame:
     """The edge log of revisions with arrays."""
-    sides = F.concat(*[F.transform(c, lambda t, op=op: F.struct(F.lit(op).alias("op"), t["subject"].alias("subject"), t["predicate"].alias("predicate"), t["object_"].alias("object_"))) for c, op in (("triple_deletions", "delete"), ("triple_additions", "add"))])
+
+    def side(c: str, op: str):  # a lambda's second parameter would be the index
+        return F.transform(c, lambda t: F.struct(F.lit(op).alias("op"), t["subject"].alias("subject"), t["predicate"].alias("predicate"), t["object_"].alias("object_")))
+
+    sides = F.concat(side("triple_deletions", "delete"), side("triple_additions", "add"))
     return deltas.select("page_id", "revision_id", "timestamp", F.inline(sides)).withColumn("object_key", object_key(F.col("object_")))
 
 
