@@ -11,11 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, sliced, word_hashes, words, written
+from .common import fresh, mix, sliced, word_hashes, words, written
 from .components import components
 
 #: Bits that near copies may differ in; share of words that verified copies have in common at least.
 RADIUS, SHARE = 14, 0.6
+#: Bits of a second, independent SimHash that an edge may differ in. Word sets with SHARE in common differ in 15 on average, and in more than this once in 300 times; it drops most edges that verification would drop, before they are sent.
+SLACK = 24
 #: Word hashes in a sketch. A document with fewer distinct words is in it whole.
 SKETCH = 128
 #: Nodes of a shard, about; links to near nodes; beam to begin with.
@@ -25,7 +27,8 @@ AUDITED, RECALL = 256, 0.95
 #: For the number of tables: share of bits that differ in a typical near copy, and misses allowed.
 FLIPPED, MISSED = 0.11, 0.003
 
-SIGNATURE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("sk", pa.int64()), ("sketch", pa.binary())])
+SECOND = np.uint64(0x9E3779B97F4A7C15)
+SIGNATURE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("sk", pa.int64()), ("sketch", pa.binary())])
 
 
 def _simhashes(hashes: np.ndarray, word: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -61,11 +64,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.array([], np.int64)
         ends = np.append(starts[1:], len(doc))
         short = (hashes >> np.uint64(32)).astype(np.uint32)[word]
-        h = _simhashes(hashes, word, starts, ends)
+        h, g = _simhashes(hashes, word, starts, ends), _simhashes(mix(hashes ^ SECOND), word, starts, ends)
         sketch = [short[a : min(b, a + SKETCH)].tobytes() for a, b in zip(starts, ends)]
         sk = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in sketch]
         ids = batch.column("doc_id").take(pa.array(doc[starts] if len(starts) else np.array([], np.int64)))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(sk, pa.int64()), pa.array(sketch, pa.binary())], schema=SIGNATURE)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(sk, pa.int64()), pa.array(sketch, pa.binary())], schema=SIGNATURE)
 
 
 def permutation(t: int) -> np.ndarray:
@@ -150,26 +153,29 @@ def exact(h: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray,
     return a[a != b], b[a != b]
 
 
-def shard_edges(h: np.ndarray, order: np.ndarray, radius: int = RADIUS, window: int = 16, beam: int = BEAM) -> np.ndarray:
+def shard_edges(h: np.ndarray, order: np.ndarray, radius: int = RADIUS, window: int = 16, beam: int = BEAM, g: np.ndarray | None = None, slack: int = SLACK) -> np.ndarray:
     """Edges (rows of two indices into h) within the radius among a shard's distinct hashes.
 
     Each node is a query. Its beam doubles as long as everything in it is within the radius. Returned are the edges to
     each node's two nearest, and of the others, nearest first, those that connect what isn't connected yet: groups need no
-    more, and a group of m copies doesn't give m * m edges.
+    more, and a group of m copies doesn't give m * m edges. g: second hashes; edges beyond slack of them count as none.
     """
     n = len(h)
     place = np.argsort(permuted(h, order), kind="stable")
-    h = h[place]
+    h, g = h[place], (np.zeros(n, np.uint64) if g is None else g[place])
     if n <= 2 * window:
         a, b = exact(h, np.arange(n), radius)
+        fits = distance(g[a], g[b]) <= slack
+        a, b = a[fits], b[fits]
         near = np.ones(len(a), bool)
         dist = distance(h[a], h[b])
     else:
         links, queries, width, parts = graph(h, window), np.arange(n), beam, []
         while len(queries):
             nodes, d = search(h, links, queries, width)
-            i, j = np.nonzero(d <= radius)
-            parts.append((queries[i], nodes[i, j].astype(np.int64), d[i, j], (j < 2) & (width == beam)))
+            fits = (d <= radius) & (distance(g[queries][:, None], g[nodes]) <= slack)
+            i, j = np.nonzero(fits)
+            parts.append((queries[i], nodes[i, j].astype(np.int64), d[i, j], (np.cumsum(fits, axis=1)[i, j] <= 2) & (width == beam)))
             full = d[:, -1] <= radius
             queries, width = (queries[full] if width < n else queries[:0]), 2 * width
         a, b, dist, near = (np.concatenate(x) for x in zip(*parts))
@@ -223,20 +229,20 @@ def candidates(reps: DataFrame, radius: int, tables: int) -> DataFrame:
             h = batch.column("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for t, order in enumerate(orders):
                 top = (permuted(h, order) >> np.uint64(64 - split)).astype(np.int64) if split and len(h) else np.zeros(len(h), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(((t << split) + top).astype(np.int32)), batch.column("h"), batch.column("rep")], names=["shard", "h", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(((t << split) + top).astype(np.int32)), *(batch.column(c) for c in ("h", "g", "rep"))], names=["shard", "h", "g", "rep"])
 
     def link(shard: pa.Table) -> pa.Table:
-        h = shard.column("h").to_numpy().view(np.uint64)
+        h, g = (shard.column(c).to_numpy().view(np.uint64) for c in ("h", "g"))
         ids = shard.column("rep").to_numpy()
         order = np.argsort(ids)  # the same edges whatever the order of arrival
-        ids, h = ids[order], h[order]
+        ids, h, g = ids[order], h[order], g[order]
         distinct, first, same = np.unique(h, return_index=True, return_inverse=True)
-        edge = first[shard_edges(distinct, orders[int(shard.column("shard")[0].as_py()) >> split], radius)]
+        edge = first[shard_edges(distinct, orders[int(shard.column("shard")[0].as_py()) >> split], radius, g=g[first])]
         twin = np.flatnonzero(first[same] != np.arange(len(h)))
         a, b = np.concatenate((edge[:, 0], first[same[twin]])), np.concatenate((edge[:, 1], twin))
         return pa.table({"a": pa.array(np.minimum(ids[a], ids[b]), pa.int64()), "b": pa.array(np.maximum(ids[a], ids[b]), pa.int64())})
 
-    return reps.select("h", "rep").mapInArrow(route, "shard int, h bigint, rep bigint").groupBy("shard").applyInArrow(link, "a bigint, b bigint").distinct()
+    return reps.select("h", "g", "rep").mapInArrow(route, "shard int, h bigint, g bigint, rep bigint").groupBy("shard").applyInArrow(link, "a bigint, b bigint").distinct()
 
 
 def audit(reps: DataFrame, groups: DataFrame, radius: int, share: float, audited: int = AUDITED) -> float:
@@ -271,8 +277,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, share: float = SHARE)
     Other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    signed = written(base.mapInArrow(_signatures, "doc_id bigint, h bigint, sk bigint, sketch binary"), "simhash")
-    reps = written(signed.groupBy("h", "sk").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "simhash")
+    signed = written(base.mapInArrow(_signatures, "doc_id bigint, h bigint, g bigint, sk bigint, sketch binary"), "simhash")
+    reps = written(signed.groupBy("h", "sk").agg(F.min("doc_id").alias("rep"), F.min("g").alias("g"), F.min("sketch").alias("sketch")), "simhash")
     ends = [reps.groupBy(F.col("rep").alias(x)).agg(F.min("sketch").alias("sketch_" + x)) for x in "ab"]
     tables = table_count(reps.count())
     while True:
