@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from .common import fresh_dir, local_path, mix, partitions, sliced, word_hashes, words, written
 
-#: Bytes of text whose bigrams a worker counts before they are sent, and scores at once.
+#: Words of the longest grams: one to predict, and its context.
+ORDER = 3
+#: Bytes of text whose grams a worker counts before they are sent, and scores at once.
 COUNTED, SCORED = 12 << 20, 6 << 20
-BITS = np.uint64(48)
-#: Kinds of the stored values: counts of bigrams (exact to 2 ** 24, then to 7 digits), of left words' continuations, of right words' contexts.
-VALUES = {"pair": "f4", "left": "i8", "word": "i8"}
 FIRST, FINAL = "\x00<s>", "\x00</s>"
+#: Stands in a gram for what would be before a text's beginning.
+NONE = word_hashes(["\x00"]) >> np.uint64(16)
 
 
 def _hashes(vocabulary: list[str]) -> np.ndarray:
@@ -28,50 +29,80 @@ def _hashes(vocabulary: list[str]) -> np.ndarray:
     return word_hashes([*vocabulary, FIRST, FINAL]) >> np.uint64(16)
 
 
-def _range(h: np.ndarray, n: int) -> np.ndarray:
-    """The range, of n of equal width, of a 48-bit hash."""
-    return ((h >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
+def _range(key: np.ndarray, n: int) -> np.ndarray:
+    """The range, of n of equal width, of a 64-bit key."""
+    return ((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
-def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A bigram's key: its left word's top bits, so that ranges of words are ranges of keys, and a hash of both."""
-    return (left >> np.uint64(32) << BITS) | (mix(left * np.uint64(0x9E3779B97F4A7C15) + mix(right)) >> np.uint64(16))
+def _keys(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of grams (a column of 48-bit hashes for each of their words): what routes them, and their own.
 
+    Grams go by their context, the words before the last, so that a context's continuations meet; words go by themselves.
+    """
+    context = key = columns[0] << np.uint64(16)
+    for w in columns[1:]:
+        context, key = key, mix(key * np.uint64(0x9E3779B97F4A7C15) + mix(w))
+    return context, key
+
+
+def _grams(codes: np.ndarray, offsets: np.ndarray, size: int, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Codes (a column for each word) and texts of all grams, one for each word and end.
 
-def _bigrams(codes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Left codes, right codes and texts of all bigrams, with beginnings (code size) and ends (size + 1); a text without words has none."""
+    A beginning has code size, an end size + 1, what would be before a beginning size + 2; a text without words has no gram.
+    """
     n = np.diff(offsets)
     some = n > 0
-    starts = offsets[:-1][some]
     right = np.insert(codes, offsets[1:][some], size + 1)
-    left = np.insert(codes, starts, size)
-    return left, right, np.repeat(np.arange(len(n)), np.where(some, n + 1, 0))
-
-
-def _distinct(left: np.ndarray, right: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    pair, same = np.unique(left * size + right, return_inverse=True)
-    return pair // size, pair % size, same
-
-
-def _packed(h: np.ndarray, counts: np.ndarray) -> bytes:
-    """48-bit hashes, and counts as bytes with the large ones apart."""
+    lengths = n[some] + 1
+    within = np.arange(len(right)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    columns = [right]
+    for back in range(1, order):
+        left = np.full(len(right), size + 2)
+        left[back:] = right[: max(0, len(right) - back)]
+        left[within == back - 1] = size
+        left[within < back - 1] = size + 2
+        columns.insert(0, left)
+    return columns, np.repeat(np.arange(len(n)), np.where(some, n + 1, 0))
+
+
+def _packed(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
+    """Grams as places in a list of their distinct 48-bit hashes, and counts as bytes with the large ones apart."""
+    h, place = np.unique(np.concatenate(columns), return_inverse=True)
+    place = place.astype(np.uint16 if len(h) <= 1 << 16 else np.uint32)
     large = np.flatnonzero(counts > 254)
     small = np.minimum(counts, 255).astype(np.uint8)
-    return b"".join((np.array([len(h), len(large)], np.int64).tobytes(), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (h >> np.uint64(32)).astype(np.uint16).tobytes(), small.tobytes(), counts[large].astype(np.int64).tobytes()))
+    sizes = np.array([len(columns), len(counts), len(h), len(large), place.itemsize], np.int64)
+    return b"".join((sizes.tobytes(), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (h >> np.uint64(32)).astype(np.uint16).tobytes(), place.tobytes(), small.tobytes(), counts[large].astype(np.int64).tobytes()))
 
 
 def _unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, k = np.frombuffer(x, np.int64, 2)
-    h = np.frombuffer(x, np.uint32, n, 16).astype(np.uint64) | np.frombuffer(x, np.uint16, n, 16 + 4 * n).astype(np.uint64) << np.uint64(32)
-    counts = np.frombuffer(x, np.uint8, n, 16 + 6 * n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(x, np.int64, k, 16 + 7 * n)
-    return h, counts
-
-
-def _stored(folder: str, name: str, values: np.ndarray) -> None:
-    """A file that is there whole or not at all, whichever attempt of a task writes it."""
+    """A row for each word of the grams, and the counts."""
+    width, n, k, large, item = np.frombuffer(x, np.int64, 5).tolist()
+    h = np.frombuffer(x, np.uint32, k, 40).astype(np.uint64) | np.frombuffer(x, np.uint16, k, 40 + 4 * k).astype(np.uint64) << np.uint64(32)
+    at = 40 + 6 * k
+    columns = h[np.frombuffer(x, f"u{item}", width * n, at)].reshape(width, n)
+    at += item * width * n
+    counts = np.frombuffer(x, np.uint8, n, at).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(x, np.int64, large, at + n)
+    return columns, counts
+
+
+def _blocks(columns: list[np.ndarray], counts: np.ndarray, to: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
+    """The grams of each range that there are some of, in order of their first words, which compresses."""
+    order = np.lexsort((columns[0], to))
+    edges = np.searchsorted(to[order], np.arange(n + 1))
+    for i in np.flatnonzero(np.diff(edges)).tolist():
+        at = order[edges[i] : edges[i + 1]]
+        yield i, _packed([c[at] for c in columns], counts[at])
+
+
+def _stored(folder: str, name: str, keys: np.ndarray, values: np.ndarray) -> None:
+    """Sorted keys and their rows of counts, as bytes with the rows of large ones apart, in a file that is there whole or not at all, whichever attempt of a task writes it."""
+    large = np.flatnonzero((values > 254).any(axis=1))
     part = f"{folder}/.{name}-{uuid.uuid4().hex}"
-    values.tofile(part)
+    with open(part, "wb") as f:
+        for x in (np.array([*values.shape, len(large)], np.int64), keys.astype(np.uint64), large.astype(np.int64), values[large].astype(np.int64), np.minimum(values, 255).astype(np.uint8)):
+            f.write(x.tobytes())
     os.replace(part, f"{folder}/{name}")
 
 
@@ -98,63 +129,74 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 class Model:
     """The arrays of a model, mapped when they are first asked for."""
 
-    def __init__(self, folder: str, n: int, bigrams: tuple[int, ...], unigrams: tuple[int, ...]):
-        self.folder, self.n = folder, n
-        self.d2, self.d1 = discounts(*bigrams[:4]), discounts(*unigrams[:4])
-        types, kinds = bigrams[4], unigrams[4]  # distinct bigrams, distinct right words
-        m1, m2 = unigrams[:2]
-        self.types = max(types, 1)
-        self.floor = (self.d1[0] * m1 + self.d1[1] * m2 + self.d1[2] * (kinds - m1 - m2)) / self.types / (kinds + 1) if kinds else 1.0
+    def __init__(self, folder: str, n: int, levels: list[list[int]]):
+        """levels: for grams of one word, two and so on, how many have the count 1, 2, 3 and 4, and how many there are."""
+        self.folder, self.n, self.levels = folder, n, levels
+        self.discounts = [np.array([0.0, *discounts(*x[:4])]) for x in levels]
+        (m1, m2, _, _, kinds), d = levels[0], self.discounts[0].tolist()
+        self.types = max(levels[1][4], 1)  # distinct bigrams
+        self.floor = (d[1] * m1 + d[2] * m2 + d[3] * (kinds - m1 - m2)) / self.types / (kinds + 1) if kinds else 1.0
         self.array = functools.cache(self._array)
 
-    def _array(self, name: str, kind: str, width: int = 1) -> np.ndarray:
+    def _array(self, name: str) -> tuple[np.ndarray, ...]:
         path = Path(self.folder, name)
-        if not path.stat().st_size:
-            return np.zeros((0, width) if width > 1 else 0, kind)
-        x = np.memmap(path, kind, "r")
-        return x.reshape(-1, width) if width > 1 else x
+        if not path.exists():  # no gram is in this range
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 1), np.int64), np.zeros((0, 1), np.uint8)
+        x = np.memmap(path, np.uint8, "r")
+        n, width, large = x[:24].view(np.int64).tolist()
+        ends = np.cumsum([24, 8 * n, 8 * large, 8 * large * width, n * width])
+        keys, places, rows, values = (x[a:b] for a, b in zip(ends, ends[1:]))
+        return keys.view(np.uint64), places.view(np.int64), rows.view(np.int64).reshape(-1, width), values.reshape(-1, width)
 
     def find(self, what: str, ranges: np.ndarray, keys: np.ndarray, width: int = 1) -> np.ndarray:
-        """The values of sorted keys, 0 where there is none."""
+        """The values of keys, 0 where there is none."""
         out = np.zeros((len(keys), width), np.float64)
-        edges = np.searchsorted(ranges, np.arange(self.n + 1))
+        order = np.lexsort((keys, ranges))
+        edges = np.searchsorted(ranges[order], np.arange(self.n + 1))
         for i in np.flatnonzero(np.diff(edges)):
-            a, b = edges[i], edges[i + 1]
-            stored = self.array(f"{what}-{i}.keys", "u8")
+            stored, places, rows, values = self.array(f"{what}-{i}")
             if len(stored):
-                at = np.minimum(np.searchsorted(stored, keys[a:b]), len(stored) - 1)
-                hit = stored[at] == keys[a:b]
-                values = self.array(f"{what}-{i}.values", VALUES[what], width).reshape(-1, width)
-                out[a:b][hit] = values[at[hit]]
+                mine = order[edges[i] : edges[i + 1]]
+                at = np.minimum(np.searchsorted(stored, keys[mine]), len(stored) - 1)
+                hit = stored[at] == keys[mine]
+                mine, at = mine[hit], at[hit]
+                found = values[at].astype(np.float64)
+                big = np.flatnonzero((found == 255).any(axis=1))
+                found[big] = rows[np.searchsorted(places, at[big])]
+                out[mine] = found
         return out
 
-    def logs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Natural logarithms of the probabilities of right words after left words (48-bit hashes)."""
-        d2, d1 = np.array([0.0, *self.d2]), np.array([0.0, *self.d1])
-        words_, same = np.unique(right, return_inverse=True)
-        a = self.find("word", _range(words_, self.n), words_)[:, 0]
-        lower = (np.maximum(a - d1[np.minimum(a, 3).astype(int)], 0) / self.types + self.floor)[same]
-        lefts, same = np.unique(left, return_inverse=True)
-        context = self.find("left", _range(lefts, self.n), lefts, 4)
-        total = context[:, 0]
-        spare = np.where(total > 0, (context[:, 1:] @ d2[1:]) / np.maximum(total, 1), 1.0)[same]
-        key = _key(left, right)
-        order = np.argsort(key)
-        c = np.empty(len(key))
-        # ranges of left hashes are ranges of keys but for those that share their top 16 bits, so each range is looked up apart
-        ranges = _range(left, self.n)[order]
-        by = np.argsort(ranges, kind="stable")
-        c[order[by]] = self.find("pair", ranges[by], key[order][by])[:, 0]
-        return np.log(np.maximum(c - d2[np.minimum(c, 3).astype(int)], 0) / np.maximum(total, 1)[same] + spare * lower)
-
-
-def fit(docs: DataFrame) -> Model:
-    """Counts all bigrams of the texts, and stores the model in the shared folder (which must be mounted).
-
-    Bigrams are counted in slices, sent in blocks to ranges of their left words' hashes, and merged there: counts, the left
-    words' totals and numbers of continuations with counts 1, 2 and more. The distinct bigrams' right words go to ranges of
-    their own for the continuation counts. Only counts of counts come to the driver.
+    def logs(self, *columns: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the probabilities of the last column's words after those before it (48-bit hashes).
+
+        Contexts that are not in the model, or not whole (NONE), leave what the shorter ones say.
+        """
+        words_, same = np.unique(columns[-1], return_inverse=True)
+        key = _keys([words_])[1]
+        a, d = self.find("gram1", _range(key, self.n), key)[:, 0], self.discounts[0]
+        p = (np.maximum(a - d[np.minimum(a, 3).astype(int)], 0) / self.types + self.floor)[same]
+        for k in range(2, len(columns) + 1):
+            context, key = _keys(columns[-k:])
+            d = self.discounts[k - 1]
+            c = self.find(f"gram{k}", _range(context, self.n), key)[:, 0]
+            contexts, same = np.unique(context, return_inverse=True)
+            of = self.find(f"context{k}", _range(contexts, self.n), contexts, 4)
+            total = of[:, 0]
+            spare = np.where(total > 0, (of[:, 1:] @ d[1:]) / np.maximum(total, 1), 1.0)[same]
+            p = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / np.maximum(total, 1)[same] + spare * p
+        return np.log(p)
+
+
+def fit(docs: DataFrame, order: int = ORDER) -> Model:
+    """Counts all grams of order words of the texts, and stores the model in the shared folder (which must be mounted).
+
+    Grams are counted in slices, sent in blocks to ranges of their contexts' hashes, and merged there: counts, the contexts'
+    totals and numbers of continuations with counts 1, 2 and more. From there the grams without their first words go to
+    ranges of their own, with the number of different words before them, and so on down to single words; grams at a
+    text's beginning, which nothing is before, keep their counts. Only counts of counts come to the driver.
     """
+    if order < 2:
+        raise ValueError("order must be 2 at least")
     spark = docs.sparkSession
     n, uri = partitions(spark), fresh_dir(spark, "ngram")
     folder = local_path(uri)
@@ -163,79 +205,64 @@ def fit(docs: DataFrame) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", COUNTED):
             vocabulary, codes, offsets = words(batch.column("text"))
-            h, size = _hashes(vocabulary), len(vocabulary) + 2
-            left, right, _ = _bigrams(codes, offsets, len(vocabulary))
-            pair, counts = np.unique(left * size + right, return_counts=True)
-            left, right = h[pair // size], h[pair % size]
-            to = _range(left, n)
-            order = np.lexsort((left, to))
-            edges = np.searchsorted(to[order], np.arange(n + 1))
-            for i in np.flatnonzero(np.diff(edges)):
-                at = order[edges[i] : edges[i + 1]]
-                lefts, times = np.unique(left[at], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_packed(lefts, times)]), pa.array([_packed(right[at], counts[at])])], names=["part", "a", "b"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for i, a, b in zip(*(batch.column(c).to_pylist() for c in ("part", "a", "b"))):
-                right, counts = _unpacked(b)
-                parts.setdefault(i, []).append((np.repeat(*_unpacked(a)), right, counts))
-        for i, blocks in parts.items():
-            left, right, counts = (np.concatenate(x) for x in zip(*blocks))
-            blocks.clear()
-            keys, counts, at = _merged(_key(left, right), counts)
-            left, right = left[at], right[at]
-            _stored(folder, f"pair-{i}.keys", keys)
-            _stored(folder, f"pair-{i}.values", counts.astype(VALUES["pair"]))
-            lefts, same = np.unique(left, return_inverse=True)
-            columns = [np.bincount(same, counts, len(lefts)), *(np.bincount(same[sel], minlength=len(lefts)) for sel in (counts == 1, counts == 2, counts > 2))]
-            _stored(folder, f"left-{i}.keys", lefts)
-            _stored(folder, f"left-{i}.values", np.stack(columns, axis=1).astype(VALUES["left"]))
-            rights, times = np.unique(right, return_counts=True)
-            edges = np.searchsorted(_range(rights, n), np.arange(n + 1))
-            to = np.flatnonzero(np.diff(edges))
-            blobs = [_packed(rights[edges[j] : edges[j + 1]], times[edges[j] : edges[j + 1]]) for j in to]
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *to], pa.int32()), pa.array([b"", *blobs], pa.binary()), pa.array([[*_of_counts(counts), len(keys)], *[None] * len(to)], pa.list_(pa.int64()))], names=["part", "b", "n"])
-
-    def singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            h = np.concatenate((_hashes(vocabulary), NONE))
+            columns = [h[c] for c in _grams(codes, offsets, len(vocabulary), order)[0]]
+            _, at, counts = np.unique(_keys(columns)[1], return_index=True, return_counts=True)
+            columns = [c[at] for c in columns]
+            for i, b in _blocks(columns, counts, _range(_keys(columns)[0], n), n):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([b], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["part", "b", "n"])
+
+    def merge(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stores the grams of k words, and sends on those of one word less; rows with counts of counts (after k) pass."""
         parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for i, b in zip(batch.column("part").to_pylist(), batch.column("b").to_pylist()):
-                parts.setdefault(i, []).append(_unpacked(b))
-        for i, blocks in parts.items():
-            keys, counts, _ = _merged(*(np.concatenate(x) for x in zip(*blocks)))
-            _stored(folder, f"word-{i}.keys", keys)
-            _stored(folder, f"word-{i}.values", counts.astype(VALUES["word"]))
-            yield pa.RecordBatch.from_arrays([pa.array([[*_of_counts(counts), len(keys)]], pa.list_(pa.int64()))], names=["n"])
-
-    empty = np.zeros(0, np.uint64)
-    for i in range(n):
-        for what in ("pair", "left", "word"):
-            for kind in ("keys", "values"):
-                _stored(folder, f"{what}-{i}.{kind}", empty)
-    blocks = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "part int, a binary, b binary")
-    counted = written(blocks.repartitionById(n, F.col("part")).mapInArrow(pairs, "part int, b binary, n array<bigint>"), "ngram")
-    sums = [F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(5)]
-    bigrams = counted.where("part < 0").agg(*sums).first()
-    unigrams = counted.where("part >= 0").select("part", "b").repartitionById(n, F.col("part")).mapInArrow(singles, "n array<bigint>").agg(*sums).first()
-    return Model(folder, n, *(tuple(x or 0 for x in row) for row in (bigrams, unigrams)))
+            for i, b, of in zip(*(batch.column(c).to_pylist() for c in ("part", "b", "n"))):
+                if of:
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([None], pa.binary()), pa.array([of], pa.list_(pa.int64()))], names=["part", "b", "n"])
+                else:
+                    parts.setdefault(i, []).append(_unpacked(b))
+        for i in list(parts):
+            columns, counts = (np.concatenate(x, axis=-1) for x in zip(*parts.pop(i)))
+            context, key = _keys(list(columns))
+            key, counts, at = _merged(key, counts)
+            columns, context = columns[:, at], context[at]
+            whole = columns[0] != NONE[0]
+            own = counts[whole]
+            _stored(folder, f"gram{k}-{i}", key[whole], own[:, None])
+            if k > 1:
+                contexts, same = np.unique(context[whole], return_inverse=True)
+                of = [np.bincount(same, own, len(contexts)), *(np.bincount(same[sel], minlength=len(contexts)) for sel in (own == 1, own == 2, own > 2))]
+                _stored(folder, f"context{k}-{i}", contexts, np.stack(of, axis=1))
+            sent = [(i, None, [k, *_of_counts(own), len(own)])]
+            if k > 1:
+                _, counts, at = _merged(_keys(list(columns[1:]))[1], np.where(whole, 1, counts))
+                rest = list(columns[1:, at])
+                sent += [(j, b, None) for j, b in _blocks(rest, counts, _range(_keys(rest)[0], n), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*sent), (pa.int32(), pa.binary(), pa.list_(pa.int64())))], names=["part", "b", "n"])
+
+    kinds = "part int, b binary, n array<bigint>"
+    blocks = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, kinds)
+    for k in range(order, 0, -1):
+        blocks = blocks.repartitionById(n, F.col("part")).mapInArrow(functools.partial(merge, k), kinds)
+    levels = {k: [0] * 5 for k in range(1, order + 1)}
+    for row in blocks.where("n IS NOT NULL").groupBy(F.col("n")[0].alias("k")).agg(*(F.sum(F.col("n")[i]) for i in range(1, 6))).collect():
+        levels[row[0]] = list(row[1:])
+    return Model(folder, n, list(levels.values()))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_words, log_probability, perplexity) of each row under a model of fit()."""
-    what = (model.folder, model.n)
-    rest = {k: v for k, v in vars(model).items() if k not in ("array",)}
+    what = (model.folder, model.n, model.levels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*what, (0,) * 5, (0,) * 5)
-        vars(m).update(rest)
+        m = Model(*what)
         for batch in sliced(batches, "text", SCORED):
             vocabulary, codes, offsets = words(batch.column("text"))
-            h, size = _hashes(vocabulary), len(vocabulary) + 2
-            left, right, doc = _bigrams(codes, offsets, len(vocabulary))
-            a, b, same = _distinct(left, right, size)
-            logs = m.logs(h[a], h[b])[same] if len(a) else np.zeros(0)
+            h = np.concatenate((_hashes(vocabulary), NONE))
+            columns, doc = _grams(codes, offsets, len(vocabulary), len(m.levels))
+            columns = [h[c] for c in columns]
+            _, at, same = np.unique(_keys(columns)[1], return_index=True, return_inverse=True)
+            logs = m.logs(*(c[at] for c in columns))[same] if len(at) else np.zeros(0)
             n = np.diff(offsets)
             total = np.bincount(doc, logs, len(n))
             none = n == 0
@@ -244,17 +271,17 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id bigint, n_words bigint, log_probability double, perplexity double")
 
 
-def perplexities(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, log_probability, perplexity): each row's text under the bigram model of all rows' texts.
+def perplexities(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(doc_id, n_words, log_probability, perplexity): each row's text under the model, of this order, of all rows' texts.
 
     Words are what ASCII white space separates; a text has a beginning, which is only a context, and an end. Probabilities
-    are interpolated, with modified Kneser-Ney discounts of both orders (see discounts()), and the unigrams' spare mass
+    are interpolated, with modified Kneser-Ney discounts of each order (see discounts()), and the unigrams' spare mass
     spread evenly over the words and one unknown. Logarithms are natural and rounded to 4 places, perplexity to 2.
 
     Null and empty texts add nothing to the model and have null scores. Repeated rows count, and are scored, each time; so
     do rows without doc_id. An empty table gives an empty result. Other columns are not read.
     """
-    return scored(docs, fit(docs))
+    return scored(docs, fit(docs, order))
 
 
 def _discount(k: int, n: str) -> str:

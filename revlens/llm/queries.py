@@ -15,6 +15,10 @@ def op2_line_dedup(spark, sf_dir):
 
 
 def op3_language_model(spark, sf_dir):
+    return ngram.perplexities(table(spark, sf_dir, "documents"), order=2)  # as its SQL
+
+
+def op3_trigram_model(spark, sf_dir):
     return ngram.perplexities(table(spark, sf_dir, "documents"))
 
 
@@ -46,5 +50,5 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_line_dedup, op3_language_model, op4_topk, op5_packing, op6_mixing, op7_chat, op8_quality, op9_suffixes, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_line_dedup, op3_language_model, op3_trigram_model, op4_topk, op5_packing, op6_mixing, op7_chat, op8_quality, op9_suffixes, op10_simhash)}
 ORACLE_SQL = {"op2_line_dedup": line_dedup.SQL, "op3_language_model": ngram.SQL, "op4_topk": vafile.SQL, "op6_mixing": mixing.SQL, "op7_chat": chat.SQL, "op9_suffixes": suffixes.SQL}

@@ -158,6 +158,51 @@ def test_probabilities_sum_to_one(spark):
         assert abs(total - 1) < 1e-9
 
 
+def kneser_ney(texts, order):
+    """Log probabilities of the texts under the interpolated modified Kneser-Ney model of them, from dictionaries."""
+    from collections import Counter, defaultdict
+
+    lists = [["<s>", *t.split(), "</s>"] for t in texts]
+    raw = {k: Counter(tuple(w[i : i + k]) for w in lists for i in range(len(w) - k + 1)) for k in range(1, order + 1)}
+    count = {order: raw[order]}
+    for k in range(order - 1, 0, -1):
+        count[k] = Counter(g[1:] for g in raw[k + 1])
+        if k > 1:
+            count[k].update({g: c for g, c in raw[k].items() if g[0] == "<s>"})
+    discount = {k: (0.0, *ngram.discounts(*(sum(c == i for c in x.values()) for i in (1, 2, 3, 4)))) for k, x in count.items()}
+    of = {k: defaultdict(list) for k in count}
+    for k, x in count.items():
+        for g, c in x.items():
+            of[k][g[:-1]].append(c)
+
+    def p(g):
+        if not g:
+            return 1 / (len(count[1]) + 1)
+        k, there = len(g), of[len(g)].get(g[:-1])
+        if not there:
+            return p(g[1:])
+        d, c = discount[k], count[k][g]
+        return (max(c - d[min(c, 3)], 0) + sum(d[min(x, 3)] for x in there) * p(g[1:])) / sum(there)
+
+    return [sum(np.log(p(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(1, len(w))) for w in lists]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_each_order_equals_brute_force(spark, order):
+    r = random.Random(order)
+    texts = [" ".join(r.choice("abcde") for _ in range(r.randint(1, 40))) for _ in range(60)] + ["a", "a b c d e " * 300]
+    got = {x["doc_id"]: x["log_probability"] for x in ngram.perplexities(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), order).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], kneser_ney(texts, order), atol=1e-3)
+
+
+def test_production_tells_stitched_pairs_from_phrases(spark):
+    """All of a text's pairs are common, but not in a row; a model of bigrams can't see it."""
+    texts = ["x a b", "y b c", "z c d", "x a b q", "y b c q", "z c d q"] * 20 + ["a b c d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    two, more = ({x["doc_id"]: x["perplexity"] for x in f.collect()} for f in (ngram.perplexities(docs, 2), ngram.perplexities(docs)))
+    assert more[120] > two[120] and more[0] < two[0]
+
+
 # --- 4: exact top-k ---
 
 
