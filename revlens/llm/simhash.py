@@ -24,6 +24,8 @@ SKETCH = 128
 SHARD, LINKS, BEAM = 1 << 15, 6, 6
 #: Queries that are audited by exact search, and the recall asked of them.
 AUDITED, RECALL = 256, 0.95
+#: Comparisons of two hashes that take about as long as one query in one table; hashes in a block of the exact search.
+WORTH, BLOCK = 1 << 13, 1 << 15
 #: For the number of tables: share of bits that differ in a typical near copy, and misses allowed.
 FLIPPED, MISSED = 0.11, 0.003
 
@@ -245,6 +247,35 @@ def candidates(reps: DataFrame, radius: int, tables: int) -> DataFrame:
     return reps.select("h", "g", "rep").mapInArrow(route, "shard int, h bigint, g bigint, rep bigint").groupBy("shard").applyInArrow(link, "a bigint, b bigint").distinct()
 
 
+def every_pair(reps: DataFrame, radius: int) -> DataFrame:
+    """All edges (a, b) of rep ids whose hashes h are within the radius: each block of hashes is compared to each."""
+    n = max(1, math.ceil(reps.count() / BLOCK))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep = batch.column("rep").to_numpy(zero_copy_only=False).astype(np.int64)
+            mine = (mix(rep.view(np.uint64) ^ SECOND) % np.uint64(n)).astype(np.int64)
+            for other in range(n):
+                cell = np.minimum(mine, other) * n + np.maximum(mine, other)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(mine.astype(np.int32)), batch.column("h"), batch.column("rep")], names=["cell", "block", "h", "rep"])
+
+    def compare(cell: pa.Table) -> pa.Table:
+        block, rep, h = cell.column("block").to_numpy(), cell.column("rep").to_numpy(), cell.column("h").to_numpy().view(np.uint64)
+        first = np.flatnonzero(block == block.min())
+        second = np.flatnonzero(block == block.max())
+        found = [np.zeros((2, 0), np.int64)]
+        step = max(1, (1 << 21) // len(second))
+        for i in range(0, len(first), step):
+            q = first[i : i + step]
+            x, y = np.nonzero(distance(h[q][:, None], h[second][None, :]) <= radius)
+            a, b = rep[q[x]], rep[second[y]]
+            found.append(np.stack((np.minimum(a, b), np.maximum(a, b)))[:, a != b])
+        a, b = np.concatenate(found, axis=1)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return reps.select("h", "rep").mapInArrow(route, "cell bigint, block int, h bigint, rep bigint").groupBy("cell").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def audit(reps: DataFrame, groups: DataFrame, radius: int, share: float, audited: int = AUDITED) -> float:
     """The share of the near copies of some reps, found by comparing them to all, that are in the same group."""
     sample = [(r["rep"], r["h"], bytes(r["sketch"])) for r in reps.orderBy(F.xxhash64("rep"), "h", "sk").limit(audited).collect()]
@@ -270,7 +301,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, share: float = SHARE)
     Documents are near copies if their SimHashes differ in at most radius of 64 bits and the Jaccard similarity of their
     word sets, taken from bottom sketches, is at least share; groups are what is connected by such pairs. Words are in
     lower case, without punctuation around them. Equal signatures are one node of the search. The search is approximate;
-    it is audited by exact search for some documents, and repeated with twice the tables if it found too few.
+    it is audited by exact search for some documents, and repeated with twice the tables if it found too few. Where that
+    would take longer than to compare all pairs, all pairs are compared, so that no recall below RECALL is returned.
 
     Rows without doc_id, and those without a word (null, empty, only punctuation), are in no group. Rows with the same
     doc_id are one document; if their texts differ, it is in the group of each. An empty table gives an empty result.
@@ -280,13 +312,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, share: float = SHARE)
     signed = written(base.mapInArrow(_signatures, "doc_id bigint, h bigint, g bigint, sk bigint, sketch binary"), "simhash")
     reps = written(signed.groupBy("h", "sk").agg(F.min("doc_id").alias("rep"), F.min("g").alias("g"), F.min("sketch").alias("sketch")), "simhash")
     ends = [reps.groupBy(F.col("rep").alias(x)).agg(F.min("sketch").alias("sketch_" + x)) for x in "ab"]
-    tables = table_count(reps.count())
-    while True:
-        pairs = candidates(reps, radius, tables).join(ends[0], "a").join(ends[1], "b").select("a", "b", "sketch_a", "sketch_b")
-        groups = components(pairs.mapInArrow(lambda batches: _jaccard(batches, share), "a bigint, b bigint"))
-        if audit(reps, groups, radius, share) >= RECALL or tables > 100:
-            break
+    n = reps.count()
+
+    def grouped(edges: DataFrame) -> DataFrame:
+        pairs = edges.join(ends[0], "a").join(ends[1], "b").select("a", "b", "sketch_a", "sketch_b")
+        return components(pairs.mapInArrow(lambda batches: _jaccard(batches, share), "a bigint, b bigint"))
+
+    tables = table_count(n)
+    groups = grouped(candidates(reps, radius, tables))
+    while audit(reps, groups, radius, share) < RECALL:
         tables *= 2
+        if tables * WORTH > n:
+            groups = grouped(every_pair(reps, radius))
+            break
+        groups = grouped(candidates(reps, radius, tables))
     members = signed.select("doc_id", "h", "sk").join(reps.select("h", "sk", "rep"), ["h", "sk"]).join(groups, F.col("rep") == F.col("node"), "left")
     members = members.select("doc_id", F.coalesce("component", "rep").alias("group_id")).distinct()
     large = members.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")

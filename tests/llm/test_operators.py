@@ -400,6 +400,17 @@ def test_simhash_hard_cases(spark):
     assert got == {3: 3, 5: 3}
 
 
+def test_no_recall_below_the_asked_is_returned(spark, monkeypatch):
+    """A search that finds nothing, whatever the tables, ends with all pairs."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    truth, pairs = near_copies(docs)
+    monkeypatch.setattr(simhash, "candidates", lambda reps, radius, tables: spark.createDataFrame([], "a bigint, b bigint"))
+    if hasattr(simhash, "BLOCK"):
+        monkeypatch.setattr(simhash, "BLOCK", 100)
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert pairs and all(got.get(a) == truth[a] == got.get(b) for a, b in pairs)
+
+
 def test_components(spark):
     r = random.Random(12)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 160)]
