@@ -22,8 +22,10 @@ SLACK = 24
 SKETCH = 128
 #: Nodes of a shard, about; links to near nodes; beam to begin with.
 SHARD, LINKS, BEAM = 1 << 15, 6, 6
-#: Queries that are audited by exact search, and the recall asked of them.
+#: Signatures that are audited by exact search at first, and the recall asked of them.
 AUDITED, RECALL = 256, 0.95
+#: Near copies of a signature in a small group, at most; so many of such signatures are to be audited.
+SMALL, ENOUGH = 8, 256
 #: Comparisons of two hashes that take about as long as one query in one table; hashes in a block of the exact search.
 WORTH, BLOCK = 1 << 13, 1 << 15
 #: For the number of tables: share of bits that differ in a typical near copy, and misses allowed.
@@ -276,23 +278,42 @@ def every_pair(reps: DataFrame, radius: int) -> DataFrame:
     return reps.select("h", "rep").mapInArrow(route, "cell bigint, block int, h bigint, rep bigint").groupBy("cell").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def audit(reps: DataFrame, groups: DataFrame, radius: int, share: float, audited: int = AUDITED) -> float:
-    """The share of the near copies of some reps, found by comparing them to all, that are in the same group."""
+def _true_pairs(reps: DataFrame, radius: int, share: float, audited: int) -> DataFrame:
+    """(a, b): some reps, and all near copies of each, found by comparing them to all."""
     sample = [(r["rep"], r["h"], bytes(r["sketch"])) for r in reps.orderBy(F.xxhash64("rep"), "h", "sk").limit(audited).collect()]
     hashes = np.array([x[1] for x in sample], np.int64).view(np.uint64)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, rep, sketch = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("rep"), batch.column("sketch")
-            x, y = np.nonzero(distance(hashes[:, None], h[None, :]) <= radius)
-            pairs = [(sample[i][0], rep[j].as_py()) for i, j in zip(x.tolist(), y.tolist()) if similar(sample[i][2], sketch[j].as_py(), share)]
-            pairs = [(a, b) for a, b in pairs if a != b]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            for k in range(0, len(sample), AUDITED):
+                x, y = np.nonzero(distance(hashes[k : k + AUDITED, None], h[None, :]) <= radius)
+                pairs = [(sample[i][0], rep[j].as_py()) for i, j in zip((x + k).tolist(), y.tolist()) if similar(sample[i][2], sketch[j].as_py(), share)]
+                pairs = [(a, b) for a, b in pairs if a != b]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    true = reps.select("h", "rep", "sketch").mapInArrow(compare, "a bigint, b bigint")
+    return reps.select("h", "rep", "sketch").mapInArrow(compare, "a bigint, b bigint")
+
+
+def audit(reps: DataFrame, groups: DataFrame, radius: int, share: float, most: int | None = None) -> float:
+    """The share of a signature's near copies that are in its group, as a mean over signatures that have some.
+
+    The mean is taken apart over signatures in small groups and in others, so that neither hide the other's losses, and the
+    lesser counts. More signatures are audited until ENOUGH of them are in small groups, up to most (by default, to an
+    eighth of the search's own work).
+    """
+    if most is None:
+        n = reps.count()
+        most = max(AUDITED, min(n, table_count(n) * WORTH // 8))
+    audited = min(AUDITED, most)
     side = [groups.select(F.col("node").alias(x), F.col("component").alias("of_" + x)) for x in "ab"]
-    all_, hit = true.join(side[0], "a", "left").join(side[1], "b", "left").agg(F.count("*"), F.count_if(F.col("of_a") == F.col("of_b"))).first()
-    return hit / all_ if all_ else 1.0
+    while True:
+        true = _true_pairs(reps, radius, share, audited)
+        each = true.join(side[0], "a", "left").join(side[1], "b", "left").groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("of_a") == F.col("of_b")).alias("hit"))
+        found = each.groupBy((F.col("n") <= SMALL).alias("small")).agg(F.count("*").alias("n"), F.avg(F.col("hit") / F.col("n")).alias("recall")).collect()
+        if audited >= most or sum(r["n"] for r in found if r["small"]) >= ENOUGH:
+            return min((r["recall"] for r in found), default=1.0)
+        audited = min(most, 4 * audited)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, share: float = SHARE) -> DataFrame:

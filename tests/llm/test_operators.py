@@ -411,6 +411,20 @@ def test_no_recall_below_the_asked_is_returned(spark, monkeypatch):
     assert pairs and all(got.get(a) == truth[a] == got.get(b) for a, b in pairs)
 
 
+def test_audit_sees_small_groups_beside_a_large_one(spark):
+    """A large group that is joined whole doesn't hide pairs that are all missed."""
+    r = np.random.default_rng(14)
+    base = r.integers(0, 1 << 63, 41, dtype=np.uint64)
+    h = np.concatenate((base[0] ^ (np.uint64(1) << r.integers(0, 64, 300, dtype=np.uint64)), base[1:], base[1:] ^ np.uint64(1)))
+    group = np.concatenate((np.zeros(300, int), np.arange(1, 41), np.arange(1, 41)))
+    rows = [(i, int(x), i, np.array([k], np.uint32).tobytes()) for i, (x, k) in enumerate(zip(h.view(np.int64), group))]
+    reps = spark.createDataFrame(rows, "rep bigint, h bigint, sk bigint, sketch binary")
+    large = [(i, 0) for i in range(300)]
+    small = [(i, 300 + (i - 300) % 40) for i in range(300, 380)]
+    got = [simhash.audit(reps, spark.createDataFrame(x, "node bigint, component bigint"), simhash.RADIUS, simhash.SHARE) for x in (large, small, large + small)]
+    assert got == [0.0, 0.0, 1.0]
+
+
 def test_components(spark):
     r = random.Random(12)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 160)]
