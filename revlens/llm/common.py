@@ -20,9 +20,11 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where unset and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="revlens-")
         atexit.register(shutil.rmtree, found, True)
         spark.sparkContext.setCheckpointDir("file://" + found)
@@ -44,10 +46,21 @@ def local_path(uri: str) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: the rows as a table in the shared folder, which outlives any executor."""
+    """Cut lineage: the rows as a table in the shared folder, which outlives any executor. See discard()."""
     path = fresh_dir(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,4 +1,4 @@
-"""SimHash near-dedup: small-world graphs over Hamming distance, beam search, verified edges, groups."""
+"""SimHash near-dedup: small-world graphs over Hamming distance, one for each shard; all queries to all shards; verified edges."""
 
 from __future__ import annotations
 
@@ -11,28 +11,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix, sliced, word_hashes, words, written
+from .common import discard, fresh, hash_range, mix, sliced, word_hashes, words, written
 from .components import components
 
-#: Bits that near copies may differ in; share of words that verified copies have in common at least.
-RADIUS, SHARE = 14, 0.6
-#: Bits of a second, independent SimHash that an edge may differ in. Word sets with SHARE in common differ in 15 on average, and in more than this once in 300 times; it drops most edges that verification would drop, before they are sent.
-SLACK = 24
-#: Word hashes in a sketch. A document with fewer distinct words is in it whole.
-SKETCH = 128
-#: Nodes of a shard, about; links to near nodes; beam to begin with.
-SHARD, LINKS, BEAM = 1 << 15, 6, 6
-#: Signatures that are audited by exact search at first, and the recall asked of them.
-AUDITED, RECALL = 256, 0.95
+#: Bits of a signature that near copies may differ in; share of words that they have in common at least.
+BITS, RADIUS, SHARE = 128, 30, 0.6
+#: Nodes of a shard, about: at most (what a task holds), and at least where there are tasks enough for more shards.
+SHARD, LEAST = 1 << 19, 1 << 16
+#: Orders of a shard's signatures, neighbours compared to either side in each, links to near nodes, beam to begin with and at its widest.
+ORDERS, WINDOW, LINKS, BEAM, WIDEST = 24, 4, 8, 8, 64
+#: Signatures that are audited by exact search at first and at most, and the recall asked of the search.
+AUDITED, MOST_AUDITED, RECALL = 256, 4096, 0.95
 #: Near copies of a signature in a small group, at most; so many of such signatures are to be audited.
 SMALL, ENOUGH = 8, 256
-#: Comparisons of two hashes that take about as long as one query in one table; hashes in a block of the exact search.
-WORTH, BLOCK = 1 << 13, 1 << 15
-#: For the number of tables: share of bits that differ in a typical near copy, and misses allowed.
-FLIPPED, MISSED = 0.11, 0.003
+#: The search is repeated with up to so many orders; then all pairs are compared, in blocks of so many signatures.
+MOST_ORDERS, BLOCK = 96, 1 << 15
 
 SECOND = np.uint64(0x9E3779B97F4A7C15)
-SIGNATURE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("g", pa.int64()), ("sk", pa.int64()), ("sketch", pa.binary())])
+NONE = np.int64(255 << 32 | 0xFFFFFFFF)
+SIGNATURE = pa.schema([("doc_id", pa.int64()), ("body", pa.int64()), ("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("words", pa.binary())])
+EDGES = "a bigint, b bigint, nr int"
 
 
 def _simhashes(hashes: np.ndarray, word: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -53,7 +51,7 @@ def _simhashes(hashes: np.ndarray, word: np.ndarray, starts: np.ndarray, ends: n
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SimHash over each document's set of words (lower case, without punctuation around), and its bottom sketch."""
+    """SimHash of 128 bits over each document's set of words (lower case, without punctuation around), the set itself as sorted 32-bit hashes, and the set's hash."""
     for batch in sliced(batches, "text"):
         vocabulary, codes, offsets = words(batch.column("text"))
         plain = [w.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~…“”„«»¿¡") for w in vocabulary]
@@ -61,301 +59,349 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         void = np.searchsorted(hashes, word_hashes([""])[0])
         void = int(void) if void < len(hashes) and "" in plain else -1
         size = max(1, len(hashes))
-        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        pair = np.unique(doc * size + same[codes]) if len(codes) else np.array([], np.int64)
+        pair = np.sort(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) * size + same[codes]) if len(codes) else np.array([], np.int64)
+        pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))] if len(pair) else pair
         pair = pair[pair % size != void]
         doc, word = pair // size, pair % size
         starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.array([], np.int64)
         ends = np.append(starts[1:], len(doc))
         short = (hashes >> np.uint64(32)).astype(np.uint32)[word]
-        h, g = _simhashes(hashes, word, starts, ends), _simhashes(mix(hashes ^ SECOND), word, starts, ends)
-        sketch = [short[a : min(b, a + SKETCH)].tobytes() for a, b in zip(starts, ends)]
-        sk = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in sketch]
-        ids = batch.column("doc_id").take(pa.array(doc[starts] if len(starts) else np.array([], np.int64)))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(sk, pa.int64()), pa.array(sketch, pa.binary())], schema=SIGNATURE)
+        sets = [short[a:b].tobytes() for a, b in zip(starts, ends)]
+        h = [_simhashes(x, word, starts, ends).view(np.int64) for x in (hashes, mix(hashes ^ SECOND))]
+        ids = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in sets]
+        at = pa.array(doc[starts] if len(starts) else np.array([], np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("body").take(at), pa.array(ids, pa.int64()), *map(pa.array, h), pa.array(sets, pa.binary())], schema=SIGNATURE)
+
+
+def permuted(h: np.ndarray, t: int) -> np.ndarray:
+    """64 of the 128 bits, in the order of table t, as integers to sort by."""
+    order = np.random.default_rng(1000 + t).permutation(BITS)[:64]
+    out = np.empty(len(h), np.uint64)
+    for a in range(0, len(h), 1 << 15):
+        bits = np.unpackbits(h[a : a + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, BITS // 8), axis=1)
+        out[a : a + (1 << 15)] = np.packbits(bits[:, order], axis=1).reshape(-1).view(">u8")
+    return out
 
 
-def permutation(t: int) -> np.ndarray:
-    """The order of bits in table t."""
-    return np.random.default_rng(1000 + t).permutation(64) if t else np.arange(64)
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that signatures (two integers each, in the last axis) differ in."""
+    return np.bitwise_count(a[..., 0] ^ b[..., 0]) + np.bitwise_count(a[..., 1] ^ b[..., 1])
+
+
+def _keys(d: np.ndarray, node: np.ndarray) -> np.ndarray:
+    return d.astype(np.int64) << 32 | node.astype(np.int64)
+
+
+def _nearest(keys: np.ndarray, k: int) -> np.ndarray:
+    """The k smallest distinct keys (distance, node) of each row, in order."""
+    keys.sort(axis=1)
+    keys[:, 1:][keys[:, 1:] == keys[:, :-1]] = NONE
+    if keys.shape[1] > k:
+        keys = np.partition(keys, k - 1, axis=1)[:, :k]
+    keys.sort(axis=1)
+    return keys
+
+
+class Graph:
+    """A navigable small world over a shard's distinct signatures: links to near nodes, and far ones at powers of two of a sorted order."""
+
+    def __init__(self, h: np.ndarray, orders: int = ORDERS):
+        n = len(h)
+        self.h, self.sorted, self.place = h, [], []
+        best = np.full((n, LINKS), NONE)
+        for t in range(orders):
+            key = permuted(h, t)
+            place = np.argsort(key, kind="stable").astype(np.int32)
+            self.sorted.append(key[place])
+            self.place.append(place)
+            for a in range(0, n, 1 << 15):
+                mine = np.arange(a, min(n, a + (1 << 15)))
+                near = [best[place[mine]]]
+                for off in (x for o in range(1, WINDOW + 1) for x in (-o, o)):
+                    at = mine + off
+                    ok = (at >= 0) & (at < n)
+                    other = place[np.where(ok, at, mine)]
+                    near.append(np.where(ok, _keys(distance(h[place[mine]], h[other]), other), NONE)[:, None])
+                best[place[mine]] = _nearest(np.concatenate(near, axis=1), LINKS)
+        node = self._nodes(best)
+        for a in range(0, n, 1 << 14):  # the links' links are near, too
+            mine = np.arange(a, min(n, a + (1 << 14)))
+            more = node[node[mine]].reshape(len(mine), -1)
+            keys = np.where(more == mine[:, None], NONE, _keys(distance(h[mine][:, None], h[more]), more))
+            best[mine] = _nearest(np.concatenate((best[mine], keys), axis=1), LINKS)
+        rank = np.empty(n, np.int64)
+        if n:
+            rank[self.place[0]] = np.arange(n)
+        far = [self.place[0][(rank + (1 << s)) % n][:, None] for s in range(3, max(4, n.bit_length()), 3)] if n else []
+        self.links = np.concatenate([self._nodes(best), *far], axis=1).astype(np.int32)
+
+    def _nodes(self, keys: np.ndarray) -> np.ndarray:
+        """The nodes of keys; a node itself where it has fewer."""
+        return np.where(keys == NONE, np.arange(len(keys))[:, None], keys & 0xFFFFFFFF)
+
+    def search(self, q: np.ndarray, own: np.ndarray, beam: int, start: np.ndarray | None = None) -> np.ndarray:
+        """For each query the keys (distance, node) of the nearest nodes that a beam finds, NONE where there are fewer.
+
+        own: the node that is the query itself, or -1. A beam starts at the query's neighbours in each order, or from start.
+        """
+        n = len(self.h)
+        if start is None:
+            at = [np.searchsorted(s, permuted(q, t)) for t, s in enumerate(self.sorted)]
+            new = np.concatenate([p[np.clip(x[:, None] + np.arange(-2, 2), 0, n - 1)] for p, x in zip(self.place, at)], axis=1)
+        else:
+            new = np.where(start == NONE, -1, start & 0xFFFFFFFF).astype(np.int32)
+        beams = np.full((len(q), beam), NONE)
+        active = np.arange(len(q))
+        while len(active):
+            keys = np.where((new < 0) | (new == own[active][:, None]), NONE, _keys(distance(q[active][:, None], self.h[new]), new))
+            keys = _nearest(np.concatenate((beams[active], keys), axis=1), beam)
+            better = (keys != beams[active]).any(axis=1)
+            beams[active] = keys
+            active, keys = active[better], keys[better]
+            new = np.where((keys == NONE)[:, :, None], -1, self.links[np.where(keys == NONE, 0, keys & 0xFFFFFFFF)]).reshape(len(active), beam * self.links.shape[1])
+        return beams
+
+
+def _linked(h: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, radius: int, orders: int) -> list[np.ndarray]:
+    """Rows (a, b, nr) of what the queries find within the radius in a shard; nr counts from the nearest.
+
+    Beams double as long as all in them is within the radius. Where the widest is full, too, there is a row (a, a, 0).
+    """
+    graph = Graph(h, orders)
+    order = np.argsort(ids)
+    place = order[np.minimum(np.searchsorted(ids[order], q_ids), len(ids) - 1)] if len(ids) else np.zeros(0, np.int64)
+    own = np.where(ids[place] == q_ids, place, -1)
+    out = [np.zeros((3, 0), np.int64)]
+    for a in range(0, len(q) if len(ids) else 0, 1 << 12):
+        mine, width, start = np.arange(a, min(len(q), a + (1 << 12))), BEAM, None
+        while len(mine):
+            step = max(1, (1 << 15) // width)
+            found = np.concatenate([graph.search(q[mine[x : x + step]], own[mine[x : x + step]], width, None if start is None else start[x : x + step]) for x in range(0, len(mine), step)])
+            full = found[:, -1] >> 32 <= radius
+            done = ~full if width < WIDEST else np.ones(len(mine), bool)
+            i, j = np.nonzero((found >> 32 <= radius) & done[:, None])
+            x, y = q_ids[mine[i]], ids[found[i, j] & 0xFFFFFFFF]
+            out.append(np.stack((np.minimum(x, y), np.maximum(x, y), j + 1)))
+            if width >= WIDEST:
+                dense = q_ids[mine[full]]
+                out.append(np.stack((dense, dense, np.zeros(len(dense), np.int64))))
+            mine, start, width = mine[~done], found[~done], 2 * width
+    return out
 
 
-def permuted(h: np.ndarray, order: np.ndarray) -> np.ndarray:
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return np.packbits(bits[:, order], axis=1).reshape(-1).view(">u8").astype(np.uint64)
+def _edges(rows: list[np.ndarray]) -> pa.RecordBatch:
+    a, b, nr = np.concatenate(rows, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(nr.astype(np.int32))], names=["a", "b", "nr"])
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
-
-
-def graph(h: np.ndarray, window: int) -> np.ndarray:
-    """Links of each node of a shard in sorted order: the nearest of a window around it, and far ones at powers of two."""
-    n = len(h)
-    offsets = [d for d in range(-window, window + 1) if d and abs(d) < n]
-    index = np.arange(n)
-    near = np.full((n, max(1, len(offsets))), 255, np.uint8)
-    for j, d in enumerate(offsets):
-        a, b = max(0, -d), min(n, n - d)
-        near[a:b, j] = distance(h[a:b], h[a + d : b + d])
-    k = min(LINKS, near.shape[1])
-    best = np.argpartition(near, k - 1, axis=1)[:, :k] if near.shape[1] > k else np.tile(np.arange(near.shape[1]), (n, 1))
-    short = (index[:, None] + np.array(offsets or [0])[best]).clip(0, n - 1)
-    far = [(index + d) % n for s in range(window.bit_length(), max(1, n.bit_length())) for d in (1 << s,)]
-    return np.concatenate([short, *[f[:, None] for f in far[:: max(1, len(far) // 4)]]], axis=1).astype(np.int32)
-
-
-def search(h: np.ndarray, links: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each query (a node), the nearest nodes that a beam search from its own links comes to: nodes and distances."""
-    n, far = len(h), np.uint8(255)
-    nodes = np.full((len(queries), beam), -1, np.int32)
-    dist = np.full((len(queries), beam), far, np.uint8)
-    active, new = np.arange(len(queries)), links[queries]
-    while len(active):
-        q = queries[active]
-        both = np.concatenate((nodes[active], new), axis=1)
-        d = np.where((both == q[:, None]) | (both < 0), far, distance(h[q][:, None], h[both]))
-        key = (d.astype(np.int64) << 32) | (both.astype(np.int64) & 0xFFFFFFFF)
-        key.sort(axis=1)
-        key[:, 1:][key[:, 1:] == key[:, :-1]] = np.int64(far) << 32 | 0xFFFFFFFF
-        key.sort(axis=1)
-        key = key[:, :beam]
-        if key.shape[1] < beam:
-            key = np.pad(key, ((0, 0), (0, beam - key.shape[1])), constant_values=np.int64(far) << 32 | 0xFFFFFFFF)
-        d2 = (key >> 32).astype(np.uint8)
-        n2 = np.where(d2 == far, -1, (key & 0xFFFFFFFF)).astype(np.int32)
-        better = d2.sum(axis=1, dtype=np.int64) < dist[active].sum(axis=1, dtype=np.int64)
-        nodes[active], dist[active] = n2, d2
-        active = active[better]
-        at = nodes[active]
-        new = np.where(at[:, :, None] >= 0, links[at], -1).reshape(len(active), at.shape[1] * links.shape[1]) if len(active) else new[:0]
-    return nodes, dist
-
-
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node connected to each of n nodes."""
-    label = np.arange(n)
-    while len(a):
-        least = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], least)
-        np.minimum.at(label, label[b], least)
-        label = label[label]
-        if (label[a] == label[b]).all() and (label == label[label]).all():
-            break
-    return label
+def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
+    parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in names] for b in batches]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64) for _ in names]
 
 
-def exact(h: np.ndarray, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All (query, node) within the radius, by comparing each query to each node."""
-    found = [np.zeros((2, 0), np.int64)]
-    step = max(1, (1 << 22) // max(1, len(h)))
-    for i in range(0, len(queries), step):
-        q = queries[i : i + step]
-        x, y = np.nonzero(distance(h[q][:, None], h[None, :]) <= radius)
-        found.append(np.stack((q[x], y)))
-    a, b = np.concatenate(found, axis=1)
-    return a[a != b], b[a != b]
+def _pair(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    return np.stack((h1.view(np.uint64), h2.view(np.uint64)), axis=1)
 
 
-def shard_edges(h: np.ndarray, order: np.ndarray, radius: int = RADIUS, window: int = 16, beam: int = BEAM, g: np.ndarray | None = None, slack: int = SLACK) -> np.ndarray:
-    """Edges (rows of two indices into h) within the radius among a shard's distinct hashes.
+def candidates(nodes: DataFrame, radius: int = RADIUS, orders: int = ORDERS) -> DataFrame:
+    """(a, b, nr): pairs of ids whose signatures are within the radius, and (a, a, 0) for ids with more such than a beam holds.
 
-    Each node is a query. Its beam doubles as long as everything in it is within the radius. Returned are the edges to
-    each node's two nearest, and of the others, nearest first, those that connect what isn't connected yet: groups need no
-    more, and a group of m copies doesn't give m * m edges. g: second hashes; edges beyond slack of them count as none.
+    nodes: id (uniform over 64 bits), h1, h2. Nodes are in shards by id, of SHARD at most, about; all are queries, too, in
+    blocks. Each (shard, block) is a task, which builds the shard's graph and searches it for the block's queries.
     """
-    n = len(h)
-    place = np.argsort(permuted(h, order), kind="stable")
-    h, g = h[place], (np.zeros(n, np.uint64) if g is None else g[place])
-    if n <= 2 * window:
-        a, b = exact(h, np.arange(n), radius)
-        fits = distance(g[a], g[b]) <= slack
-        a, b = a[fits], b[fits]
-        near = np.ones(len(a), bool)
-        dist = distance(h[a], h[b])
-    else:
-        links, queries, width, parts = graph(h, window), np.arange(n), beam, []
-        while len(queries):
-            nodes, d = search(h, links, queries, width)
-            fits = (d <= radius) & (distance(g[queries][:, None], g[nodes]) <= slack)
-            i, j = np.nonzero(fits)
-            parts.append((queries[i], nodes[i, j].astype(np.int64), d[i, j], (np.cumsum(fits, axis=1)[i, j] <= 2) & (width == beam)))
-            full = d[:, -1] <= radius
-            queries, width = (queries[full] if width < n else queries[:0]), 2 * width
-        a, b, dist, near = (np.concatenate(x) for x in zip(*parts))
-    label = roots(n, a[near], b[near])
-    use = near.copy()
-    for level in range(radius + 1):
-        more = (dist == level) & (label[a] != label[b])
-        if more.any():
-            use |= more
-            label = roots(n, a[use], b[use])
-    edge = np.unique(np.minimum(a[use], b[use]) * n + np.maximum(a[use], b[use]))
-    return np.stack((place[edge // n], place[edge % n]), axis=1)
-
-
-def table_count(n: int) -> int:
-    """Tables so that a typical near copy shares a table's prefix, of as many bits as n nodes have, in one of them."""
-    bits = max(1, math.ceil(math.log2(max(2, n))) - 5)
-    return max(4, math.ceil(math.log(MISSED) / math.log(1 - (1 - FLIPPED) ** bits)))
+    n, spark = nodes.count(), nodes.sparkSession
+    tasks = spark.sparkContext.defaultParallelism
+    shards = max(1, math.ceil(n / SHARD), min(math.isqrt(tasks), n // LEAST))
+    blocks = max(shards, math.ceil(tasks / shards))
 
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = batch.column("shard").to_numpy(zero_copy_only=False).astype(np.int32)
+            block = batch.column("block").to_numpy(zero_copy_only=False).astype(np.int32)
+            for role, cells in (*((0, shard * blocks + x) for x in range(blocks)), *((1, x * blocks + block) for x in range(shards))):
+                yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(np.full(len(cells), role, np.int32)), *(batch.column(c) for c in ("id", "h1", "h2"))], names=["cell", "role", "id", "h1", "h2"])
 
-def similar(x: bytes, y: bytes, share: float) -> bool:
-    """Whether the word sets of two sketches have at least this Jaccard similarity; exact if both are in them whole."""
-    p, q = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-    both = np.sort(np.concatenate((p, q)))
-    twin = both[1:] == both[:-1]
-    top = both[np.concatenate(([True], ~twin))]
-    if max(len(p), len(q)) == SKETCH:
-        top = top[:SKETCH]
-    return int(np.searchsorted(both[1:][twin], top[-1], side="right")) >= share * len(top)
-
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        role, ids, h1, h2 = _columns(batches, ["role", "id", "h1", "h2"])
+        if len(ids):
+            order = np.argsort(ids, kind="stable")  # the same edges whatever the order of arrival
+            role, ids, h = role[order], ids[order], _pair(h1, h2)[order]
+            yield _edges(_linked(h[role == 0], ids[role == 0], h[role == 1], ids[role == 1], radius, orders))
 
-def _jaccard(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = [similar(x, y, share) for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    placed = nodes.select("id", "h1", "h2", hash_range(F.col("id"), shards).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    cells = placed.mapInArrow(route, "cell int, role int, id bigint, h1 bigint, h2 bigint").repartitionById(shards * blocks, F.col("cell"))
+    return cells.mapInArrow(link, EDGES).groupBy("a", "b").agg(F.min("nr").alias("nr"))
 
 
-def candidates(reps: DataFrame, radius: int, tables: int) -> DataFrame:
-    """Edges (a, b) of rep ids whose hashes h are within the radius.
+def every_pair(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b, nr): all pairs of ids of different components whose signatures are within the radius, by comparing each block to each.
 
-    Each table sorts the hashes by bits in an order of its own; ranges of that order are shards, and each query goes to the
-    shard of its range in each table. Both the tables and the shards follow the number of hashes, so that the work grows
-    in proportion to it but for the logarithm.
+    nodes: id, h1, h2, component. Blocks are ranges of components, so that those within one component are passed over.
     """
-    n = reps.count()
-    split = max(0, math.ceil(math.log2(max(1, n) / SHARD)))
-    orders = [permutation(t) for t in range(tables)]
+    spark = nodes.sparkSession
+    n = max(1, math.ceil(nodes.count() / BLOCK))
+    placed = nodes.repartitionByRange(n, "component", "id").withColumn("block", F.spark_partition_id())
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for t, order in enumerate(orders):
-                top = (permuted(h, order) >> np.uint64(64 - split)).astype(np.int64) if split and len(h) else np.zeros(len(h), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(((t << split) + top).astype(np.int32)), *(batch.column(c) for c in ("h", "g", "rep"))], names=["shard", "h", "g", "rep"])
+            mine = batch.column("block").to_numpy(zero_copy_only=False).astype(np.int64)
+            for other in range(n):
+                cell = np.minimum(mine, other) * n + np.maximum(mine, other)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), *(batch.column(c) for c in ("block", "id", "h1", "h2", "component"))], names=["cell", "block", "id", "h1", "h2", "component"])
 
-    def link(shard: pa.Table) -> pa.Table:
-        h, g = (shard.column(c).to_numpy().view(np.uint64) for c in ("h", "g"))
-        ids = shard.column("rep").to_numpy()
-        order = np.argsort(ids)  # the same edges whatever the order of arrival
-        ids, h, g = ids[order], h[order], g[order]
-        distinct, first, same = np.unique(h, return_index=True, return_inverse=True)
-        edge = first[shard_edges(distinct, orders[int(shard.column("shard")[0].as_py()) >> split], radius, g=g[first])]
-        twin = np.flatnonzero(first[same] != np.arange(len(h)))
-        a, b = np.concatenate((edge[:, 0], first[same[twin]])), np.concatenate((edge[:, 1], twin))
-        return pa.table({"a": pa.array(np.minimum(ids[a], ids[b]), pa.int64()), "b": pa.array(np.maximum(ids[a], ids[b]), pa.int64())})
+    def compare(cell: pa.Table) -> pa.Table:
+        block, ids, h1, h2, component = (cell.column(c).to_numpy() for c in ("block", "id", "h1", "h2", "component"))
+        h = _pair(h1, h2)
+        first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        out = [np.zeros((3, 0), np.int64)]
+        if component.min() != component.max():
+            step = max(1, (1 << 21) // len(second))
+            for i in range(0, len(first), step):
+                q = first[i : i + step]
+                x, y = np.nonzero((distance(h[q][:, None], h[second][None]) <= radius) & (component[q][:, None] != component[second][None]))
+                a, b = ids[q[x]], ids[second[y]]
+                out.append(np.stack((np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64))))
+        return pa.Table.from_batches([_edges(out)])
+
+    return placed.mapInArrow(route, "cell bigint, block int, id bigint, h1 bigint, h2 bigint, component bigint").groupBy("cell").applyInArrow(compare, EDGES).distinct()
 
-    return reps.select("h", "g", "rep").mapInArrow(route, "shard int, h bigint, g bigint, rep bigint").groupBy("shard").applyInArrow(link, "a bigint, b bigint").distinct()
 
+def similar(x: bytes, y: bytes, share: float) -> bool:
+    """Whether two sets of words (sorted hashes) have at least this Jaccard similarity."""
+    p, q = len(x) // 4, len(y) // 4
+    if min(p, q) < share * max(p, q):
+        return False
+    both = np.concatenate((np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= share * (p + q - common)
 
-def every_pair(reps: DataFrame, radius: int) -> DataFrame:
-    """All edges (a, b) of rep ids whose hashes h are within the radius: each block of hashes is compared to each."""
-    n = max(1, math.ceil(reps.count() / BLOCK))
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rep = batch.column("rep").to_numpy(zero_copy_only=False).astype(np.int64)
-            mine = (mix(rep.view(np.uint64) ^ SECOND) % np.uint64(n)).astype(np.int64)
-            for other in range(n):
-                cell = np.minimum(mine, other) * n + np.maximum(mine, other)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(mine.astype(np.int32)), batch.column("h"), batch.column("rep")], names=["cell", "block", "h", "rep"])
+def verified(signed: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets of words are similar; only the sets of ids in pairs are shuffled."""
 
-    def compare(cell: pa.Table) -> pa.Table:
-        block, rep, h = cell.column("block").to_numpy(), cell.column("rep").to_numpy(), cell.column("h").to_numpy().view(np.uint64)
-        first = np.flatnonzero(block == block.min())
-        second = np.flatnonzero(block == block.max())
-        found = [np.zeros((2, 0), np.int64)]
-        step = max(1, (1 << 21) // len(second))
-        for i in range(0, len(first), step):
-            q = first[i : i + step]
-            x, y = np.nonzero(distance(h[q][:, None], h[second][None, :]) <= radius)
-            a, b = rep[q[x]], rep[second[y]]
-            found.append(np.stack((np.minimum(a, b), np.maximum(a, b)))[:, a != b])
-        a, b = np.concatenate(found, axis=1)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return reps.select("h", "rep").mapInArrow(route, "cell bigint, block int, h bigint, rep bigint").groupBy("cell").applyInArrow(compare, "a bigint, b bigint").distinct()
-
-
-def _true_pairs(reps: DataFrame, radius: int, share: float, audited: int) -> DataFrame:
-    """(a, b): some reps, and all near copies of each, found by comparing them to all."""
-    sample = [(r["rep"], r["h"], bytes(r["sketch"])) for r in reps.orderBy(F.xxhash64("rep"), "h", "sk").limit(audited).collect()]
-    hashes = np.array([x[1] for x in sample], np.int64).view(np.uint64)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, rep, sketch = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("rep"), batch.column("sketch")
-            for k in range(0, len(sample), AUDITED):
-                x, y = np.nonzero(distance(hashes[k : k + AUDITED, None], h[None, :]) <= radius)
-                pairs = [(sample[i][0], rep[j].as_py()) for i, j in zip((x + k).tolist(), y.tolist()) if similar(sample[i][2], sketch[j].as_py(), share)]
-                pairs = [(a, b) for a, b in pairs if a != b]
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            keep = [similar(x, y, share) for x, y in zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = pairs.select("a", "b").where("a <> b")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = signed.select("id", "words").join(needed, "id", "left_semi").groupBy("id").agg(F.first("words").alias("words"))
+    sides = [sets.select(F.col("id").alias(x), F.col("words").alias("words_" + x)) for x in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "words_a", "words_b").mapInArrow(check, "a bigint, b bigint")
+
 
-    return reps.select("h", "rep", "sketch").mapInArrow(compare, "a bigint, b bigint")
+def _labelled(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """pairs with the components of both ends; an id without a group is its own."""
+    for x in "ab":
+        side = groups.select(F.col("node").alias(x), F.col("component").alias("of_" + x))
+        pairs = pairs.join(side, x, "left").withColumn("of_" + x, F.coalesce("of_" + x, x))
+    return pairs
 
 
-def audit(reps: DataFrame, groups: DataFrame, radius: int, share: float, most: int | None = None) -> float:
+def grouped(signed: DataFrame, nodes: DataFrame, found: DataFrame, radius: int, share: float) -> DataFrame:
+    """(node, component) by the verified pairs of found (a, b, nr), a written table.
+
+    First each node's nearest are verified, then, of all other pairs, those whose ends are still apart; what is in one
+    component already needs no verification. Ids with more near signatures than the widest beam are at last compared
+    exactly to all others of that kind in other components (to ids of any other kind, they are linked by these).
+    """
+    held = written(verified(signed, found.where("nr BETWEEN 1 AND 2"), share), "simhash")
+    groups = components(held)
+    apart = _labelled(found.where("nr > 2").select("a", "b"), groups).where("of_a <> of_b")
+    more = written(verified(signed, apart, share), "simhash")
+    groups = components(held.union(more))
+    dense = found.where("nr = 0").select(F.col("a").alias("id"))
+    if not dense.isEmpty():
+        dense = nodes.join(dense, "id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        groups = components(held.union(more).union(written(verified(signed, every_pair(written(dense, "simhash"), radius), share), "simhash")))
+    return groups
+
+
+def audit(signed: DataFrame, nodes: DataFrame, groups: DataFrame, radius: int, share: float) -> float:
     """The share of a signature's near copies that are in its group, as a mean over signatures that have some.
 
     The mean is taken apart over signatures in small groups and in others, so that neither hide the other's losses, and the
-    lesser counts. More signatures are audited until ENOUGH of them are in small groups, up to most (by default, to an
-    eighth of the search's own work).
+    lesser counts. More signatures are audited until ENOUGH of them are in small groups, up to MOST_AUDITED. If none of
+    those has a near copy, there is nothing to lose but what fewer than 1 in 1000 documents have, and the result is 1.
     """
-    if most is None:
-        n = reps.count()
-        most = max(AUDITED, min(n, table_count(n) * WORTH // 8))
-    audited = min(AUDITED, most)
-    side = [groups.select(F.col("node").alias(x), F.col("component").alias("of_" + x)) for x in "ab"]
+    audited = AUDITED
     while True:
-        true = _true_pairs(reps, radius, share, audited)
-        each = true.join(side[0], "a", "left").join(side[1], "b", "left").groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("of_a") == F.col("of_b")).alias("hit"))
+        sample = np.array([(r["id"], r["h1"], r["h2"]) for r in nodes.orderBy(F.xxhash64("id"), "id").limit(audited).collect()], np.int64).reshape(-1, 3)
+
+        def compare(batches: Iterator[pa.RecordBatch], sample: np.ndarray = sample) -> Iterator[pa.RecordBatch]:
+            q = _pair(sample[:, 1].copy(), sample[:, 2].copy())
+            for batch in batches:
+                ids, h1, h2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "h1", "h2"))
+                h = _pair(h1, h2)
+                for k in range(0, len(q), AUDITED):
+                    x, y = np.nonzero(distance(q[k : k + AUDITED][:, None], h[None]) <= radius)
+                    yield pa.RecordBatch.from_arrays([pa.array(sample[x + k, 0]), pa.array(ids[y])], names=["a", "b"])
+
+        true = verified(signed, nodes.mapInArrow(compare, "a bigint, b bigint"), share)
+        each = _labelled(true, groups).groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("of_a") == F.col("of_b")).alias("hit"))
         found = each.groupBy((F.col("n") <= SMALL).alias("small")).agg(F.count("*").alias("n"), F.avg(F.col("hit") / F.col("n")).alias("recall")).collect()
-        if audited >= most or sum(r["n"] for r in found if r["small"]) >= ENOUGH:
+        if audited >= MOST_AUDITED or len(sample) < audited or sum(r["n"] for r in found if r["small"]) >= ENOUGH:
             return min((r["recall"] for r in found), default=1.0)
-        audited = min(most, 4 * audited)
+        audited *= 4
+
+
+def _members(docs: DataFrame, radius: int, share: float) -> DataFrame:
+    """(doc_id, body, component) of each distinct document (doc_id and hash of the text) with a word; a written table."""
+    text = F.col("text").cast("string")
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("body"), text.alias("text"))
+    signed = written(base.mapInArrow(_signatures, "doc_id bigint, body bigint, id bigint, h1 bigint, h2 bigint, words binary"), "simhash")
+    nodes = written(signed.select("id", "h1", "h2").groupBy("id").agg(F.min("h1").alias("h1"), F.min("h2").alias("h2")), "simhash")
+    orders = ORDERS
+    while True:
+        found = written(candidates(nodes, radius, orders), "simhash")
+        groups = grouped(signed, nodes, found, radius, share)
+        discard(found)
+        if audit(signed, nodes, groups, radius, share) >= RECALL:
+            break
+        orders *= 2
+        if orders > MOST_ORDERS:  # all nodes, each a component of its own so far
+            found = written(every_pair(nodes.withColumn("component", F.col("id")), radius), "simhash")
+            groups = components(verified(signed, found, share))
+            break
+    members = signed.select("doc_id", "body", "id").distinct().join(groups, F.col("id") == F.col("node"), "left")
+    out = written(members.select("doc_id", "body", F.coalesce("component", "id").alias("component")), "simhash")
+    discard(signed, nodes, groups)
+    return out
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, share: float = SHARE) -> DataFrame:
     """(doc_id, group_id): the documents that have near copies; group_id is the smallest doc_id of the group.
 
-    Documents are near copies if their SimHashes differ in at most radius of 64 bits and the Jaccard similarity of their
-    word sets, taken from bottom sketches, is at least share; groups are what is connected by such pairs. Words are in
-    lower case, without punctuation around them. Equal signatures are one node of the search. The search is approximate;
-    it is audited by exact search for some documents, and repeated with twice the tables if it found too few. Where that
-    would take longer than to compare all pairs, all pairs are compared, so that no recall below RECALL is returned.
+    Documents are near copies if their SimHashes differ in at most radius of 128 bits and the Jaccard similarity of their
+    whole sets of words is at least share; groups are what is connected by such pairs. Words are in lower case, without
+    punctuation around them. Texts with the same set of words are one node of the search. The search is approximate; it is
+    audited by exact search for a sample, and repeated with more orders and at last by comparing all pairs, so that no
+    recall below RECALL is returned.
+
+    A document is a distinct (doc_id, text): repeated rows are one; rows with the same doc_id and different texts are
+    documents of their own, so that a doc_id has a row for each group that it is in. Rows without doc_id are documents,
+    too, and can make another one's group, but are not listed. Null and empty texts, and those without a word (only
+    punctuation), are in no group. Long texts are compared whole. Ties in distance go by the hash of the set of words; the
+    groups don't depend on them. An empty table gives an empty result. Other columns are not read.
+    """
+    members = _members(docs, radius, share)
+    large = members.groupBy("component").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).where("n > 1 AND group_id IS NOT NULL").drop("n")
+    return members.where("doc_id IS NOT NULL").join(large, "component").select("doc_id", "group_id").distinct()
+
 
-    Rows without doc_id, and those without a word (null, empty, only punctuation), are in no group. Rows with the same
-    doc_id are one document; if their texts differ, it is in the group of each. An empty table gives an empty result.
-    Other columns are not read.
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, share: float = SHARE) -> DataFrame:
+    """The documents without near copies, see near_duplicates(), but for one of each group; all columns stay.
+
+    The one that stays has the smallest doc_id (rows without doc_id come last; ties go by the hash of the text). What goes
+    is known by doc_id and text, so that a row with the same doc_id and a text of its own stays. Repeated rows of what
+    stays all stay. Null and empty texts stay. An empty table gives an empty result; names of other columns don't matter.
     """
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    signed = written(base.mapInArrow(_signatures, "doc_id bigint, h bigint, g bigint, sk bigint, sketch binary"), "simhash")
-    reps = written(signed.groupBy("h", "sk").agg(F.min("doc_id").alias("rep"), F.min("g").alias("g"), F.min("sketch").alias("sketch")), "simhash")
-    ends = [reps.groupBy(F.col("rep").alias(x)).agg(F.min("sketch").alias("sketch_" + x)) for x in "ab"]
-    n = reps.count()
-
-    def grouped(edges: DataFrame) -> DataFrame:
-        pairs = edges.join(ends[0], "a").join(ends[1], "b").select("a", "b", "sketch_a", "sketch_b")
-        return components(pairs.mapInArrow(lambda batches: _jaccard(batches, share), "a bigint, b bigint"))
-
-    tables = table_count(n)
-    groups = grouped(candidates(reps, radius, tables))
-    while audit(reps, groups, radius, share) < RECALL:
-        tables *= 2
-        if tables * WORTH > n:
-            groups = grouped(every_pair(reps, radius))
-            break
-        groups = grouped(candidates(reps, radius, tables))
-    members = signed.select("doc_id", "h", "sk").join(reps.select("h", "sk", "rep"), ["h", "sk"]).join(groups, F.col("rep") == F.col("node"), "left")
-    members = members.select("doc_id", F.coalesce("component", "rep").alias("group_id")).distinct()
-    large = members.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
-    return members.join(large, "group_id").select("doc_id", "group_id")
-
-
-def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents without those that near_duplicates() groups, but for the one of the smallest doc_id; all columns stay."""
-    name = fresh(docs, "near_copy")
-    gone = near_duplicates(docs, **parameters).where("doc_id <> group_id").select(F.col("doc_id").alias(name)).distinct()
-    gone = written(gone, "simhash")  # so that its size is known to the optimizer
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    gone_id, gone_body = fresh(docs, "near_copy"), fresh(docs, "near_copy_body")
+    members = _members(docs, radius, share)
+    first = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("first"))
+    gone = members.join(first, "component").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("body") == F.col("first.body"))))
+    gone = written(gone.select(F.col("doc_id").alias(gone_id), F.col("body").alias(gone_body)), "simhash")  # so that its size is known to the optimizer
+    same = (F.xxhash64(F.col("text").cast("string")) == F.col(gone_body)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(gone_id))
+    return docs.join(gone, same, "left_anti")
