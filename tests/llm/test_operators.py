@@ -212,7 +212,7 @@ def test_neighbours_equal_brute_force(spark):
     x[50:60] = x[0]  # ties
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist()), (None, [1.0] * 8), (900, None), (901, []), (902, [float("nan")] * 8), (903, [None] * 8), (904, [1.0, 2.0]), (905, [1.0, 2.0])]
     got = {}
-    for row in vafile.neighbours(spark.createDataFrame([(*v, "x") for v in rows], "vec_id bigint, embedding array<float>, distance string")).collect():
+    for row in vafile.neighbours(spark.createDataFrame([(*v, "x") for v in rows], "vec_id bigint, embedding array<float>, distance string"), every=1).collect():
         got.setdefault(row["vec_id"], {})[row["rank"]] = (row["neighbour_id"], row["distance"])
     d = np.sqrt(((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(axis=2))
     for i in range(300):
@@ -221,6 +221,27 @@ def test_neighbours_equal_brute_force(spark):
     assert got[904] == {1: (905, 0.0)} and not {None, 900, 901, 902, 903} & got.keys()
 
 
+@pytest.mark.parametrize("large", [1e20, 3e38, 1e-42])
+def test_neighbours_beside_outliers(spark, large):
+    """Squares that single precision can't hold, too large or too small, lose nothing."""
+    r = np.random.default_rng(20)
+    x = r.normal(size=(32, 4)).astype(np.float32) * np.float32(min(large, 1))
+    x[30], x[31] = large, -np.float32(large)
+    got = {}
+    for row in vafile.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>"), every=1).collect():
+        got.setdefault(row["vec_id"], {})[row["rank"]] = row["neighbour_id"]
+    d = np.sqrt(((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(axis=2))
+    for i in range(32):
+        order = [int(j) for j in np.lexsort((np.arange(32), d[i])) if j != i][:10]
+        assert [got[i][k + 1] for k in range(10)] == order
+
+
+def test_queries_are_ids_divisible_by_fifty(spark):
+    rows = [(i, [float(i)]) for i in range(120)]
+    got = vafile.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), k=1).collect()
+    assert {(r["vec_id"], r["neighbour_id"]) for r in got} == {(0, 1), (50, 49), (100, 99)}
+
+
 # --- 5: packing ---
 
 
