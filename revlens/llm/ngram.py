@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,59 +66,99 @@ def _grams(codes: np.ndarray, offsets: np.ndarray, size: int, order: int) -> tup
     return columns, np.repeat(np.arange(len(n)), np.where(some, n + 1, 0))
 
 
-def _packed(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """Grams as places in a list of their distinct 48-bit hashes, and counts as bytes with the large ones apart."""
-    h, place = np.unique(np.concatenate(columns), return_inverse=True)
-    place = place.astype(np.uint16 if len(h) <= 1 << 16 else np.uint32)
+def _joined(columns: list[np.ndarray], size: int) -> np.ndarray:
+    """One integer for each gram of codes below size, in the grams' order where the codes of all columns fit into it."""
+    bits = max(1, int(size).bit_length())
+    if bits * len(columns) > 63:
+        return _keys([c.astype(np.uint64) for c in columns])[1]
+    out = columns[0].astype(np.uint64)
+    for c in columns[1:]:
+        out = out << np.uint64(bits) | c.astype(np.uint64)
+    return out
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place of each distinct key in order, how often it is there, and the order."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(keys))), order
+
+
+def _packed(columns: list[np.ndarray], hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Grams of codes into hashes: the 48-bit hashes that occur, often ones first, then places in them, sorted by the first words, and counts.
+
+    The first column is kept as differences, and all numbers byte by byte, which compresses well.
+    """
+    often = np.bincount(np.concatenate(columns), minlength=len(hashes))
+    there = np.flatnonzero(often)
+    there = there[np.argsort(-often[there], kind="stable")]
+    place = np.zeros(len(hashes), np.int64)
+    place[there] = np.arange(len(there))
+    columns = [place[c] for c in columns]
+    order = np.argsort(_joined(columns, len(there)), kind="stable") if len(there).bit_length() * len(columns) < 64 else np.lexsort(columns[::-1])
+    columns, counts, h = [c[order] for c in columns], counts[order], hashes[there]
+    columns[0] = np.diff(columns[0], prepend=0)
+    item = 2 if len(h) <= 1 << 16 else 4
     large = np.flatnonzero(counts > 254)
-    small = np.minimum(counts, 255).astype(np.uint8)
-    sizes = np.array([len(columns), len(counts), len(h), len(large), place.itemsize], np.int64)
-    return b"".join((sizes.tobytes(), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (h >> np.uint64(32)).astype(np.uint16).tobytes(), place.tobytes(), small.tobytes(), counts[large].astype(np.int64).tobytes()))
+    planes = np.stack(columns).astype(f"<u{item}").view(np.uint8).reshape(len(columns), -1, item).transpose(0, 2, 1)
+    sizes = np.array([len(columns), len(counts), len(h), len(large), item], np.int64)
+    packed = zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes())
+    return b"".join((sizes.tobytes(), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (h >> np.uint64(32)).astype(np.uint16).tobytes(), packed))
 
 
 def _unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A row for each word of the grams, and the counts."""
+    """A row of hashes for each word of the grams, and the counts."""
     width, n, k, large, item = np.frombuffer(x, np.int64, 5).tolist()
     h = np.frombuffer(x, np.uint32, k, 40).astype(np.uint64) | np.frombuffer(x, np.uint16, k, 40 + 4 * k).astype(np.uint64) << np.uint64(32)
-    at = 40 + 6 * k
-    columns = h[np.frombuffer(x, f"u{item}", width * n, at)].reshape(width, n)
-    at += item * width * n
-    counts = np.frombuffer(x, np.uint8, n, at).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(x, np.int64, large, at + n)
-    return columns, counts
+    rest = zstandard.ZstdDecompressor().decompress(x[40 + 6 * k :])
+    place = np.frombuffer(rest, np.uint8, width * item * n).reshape(width, item, n).transpose(0, 2, 1).copy().view(f"<u{item}")[..., 0].astype(np.int64)
+    place[0] = np.cumsum(place[0])
+    counts = np.frombuffer(rest, np.uint8, n, width * item * n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(rest, np.int64, large, (width * item + 1) * n)
+    return h[place], counts
 
 
-def _blocks(columns: list[np.ndarray], counts: np.ndarray, to: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
-    """The grams of each range that there are some of, in order of their first words, which compresses."""
-    order = np.lexsort((columns[0], to))
+def _blocks(columns: list[np.ndarray], hashes: np.ndarray, counts: np.ndarray, to: np.ndarray, n: int) -> Iterator[tuple[int, bytes]]:
+    """The packed grams of each range that there are some of."""
+    order = np.argsort(to, kind="stable")
     edges = np.searchsorted(to[order], np.arange(n + 1))
     for i in np.flatnonzero(np.diff(edges)).tolist():
         at = order[edges[i] : edges[i + 1]]
-        yield i, _packed([c[at] for c in columns], counts[at])
+        yield i, _packed([c[at] for c in columns], hashes, counts[at])
 
 
-def _stored(folder: str, name: str, keys: np.ndarray, values: np.ndarray) -> None:
-    """Sorted keys and their rows of counts, as bytes with the rows of large ones apart, in a file that is there whole or not at all, whichever attempt of a task writes it."""
-    large = np.flatnonzero((values > 254).any(axis=1))
+def _stored(folder: str, name: str, keys: np.ndarray, codes: np.ndarray, rows: np.ndarray) -> None:
+    """A sorted hash array: of each key, its leading bits as a place in an index, and the 32 bits after them; a byte of value.
+
+    Where the byte is 255, the value is a row of rows. The file is there whole or not at all, whichever attempt of a task
+    writes it.
+    """
+    bits = min(24, max(1, len(keys).bit_length() - 3))
+    index = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    large = np.flatnonzero(codes == 255)
     part = f"{folder}/.{name}-{uuid.uuid4().hex}"
     with open(part, "wb") as f:
-        for x in (np.array([*values.shape, len(large)], np.int64), keys.astype(np.uint64), large.astype(np.int64), values[large].astype(np.int64), np.minimum(values, 255).astype(np.uint8)):
+        for x in (np.array([len(keys), bits, len(large), rows.shape[1]], np.int64), large.astype(np.int64), rows.astype(np.int64), index.astype(np.uint32), (keys << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), codes.astype(np.uint8)):
             f.write(x.tobytes())
     os.replace(part, f"{folder}/{name}")
 
 
 def _merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys, the sums of their counts, and a place of each."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], np.add.reduceat(counts[order], starts) if len(keys) else counts, order[starts]
+    starts, _, order = _distinct(keys)
+    return keys[order[starts]], np.add.reduceat(counts[order], starts) if len(keys) else counts, order[starts]
 
 
 def _of_counts(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
 
+def _context_codes(of: np.ndarray) -> np.ndarray:
+    """A byte for a context's total and its numbers of continuations with counts 1, 2 and more; 255 where it takes a row."""
+    return np.where((of[:, 3] == 0) & (of[:, 1] <= 15) & (of[:, 2] <= 14), of[:, 1] + 16 * of[:, 2], 255)
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """The discounts of counts 1, 2 and from 3 on; half of each where a count of counts is 0."""
     if not (n1 and n2 and n3 and n4):
@@ -138,32 +179,41 @@ class Model:
         self.floor = (d[1] * m1 + d[2] * m2 + d[3] * (kinds - m1 - m2)) / self.types / (kinds + 1) if kinds else 1.0
         self.array = functools.cache(self._array)
 
-    def _array(self, name: str) -> tuple[np.ndarray, ...]:
+    def _array(self, name: str) -> tuple[np.ndarray, ...] | None:
         path = Path(self.folder, name)
         if not path.exists():  # no gram is in this range
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 1), np.int64), np.zeros((0, 1), np.uint8)
+            return None
         x = np.memmap(path, np.uint8, "r")
-        n, width, large = x[:24].view(np.int64).tolist()
-        ends = np.cumsum([24, 8 * n, 8 * large, 8 * large * width, n * width])
-        keys, places, rows, values = (x[a:b] for a, b in zip(ends, ends[1:]))
-        return keys.view(np.uint64), places.view(np.int64), rows.view(np.int64).reshape(-1, width), values.reshape(-1, width)
+        n, bits, large, width = x[:32].view(np.int64).tolist()
+        ends = np.cumsum([32, 8 * large, 8 * large * width, 4 * ((1 << bits) + 1), 4 * n, n])
+        places, rows, index, keys, codes = (x[a:b] for a, b in zip(ends, ends[1:]))
+        return places.view(np.int64), rows.view(np.int64).reshape(-1, width), index.view(np.uint32), keys.view(np.uint32), codes, bits
 
     def find(self, what: str, ranges: np.ndarray, keys: np.ndarray, width: int = 1) -> np.ndarray:
-        """The values of keys, 0 where there is none."""
+        """The values of keys, 0 where there is none: of grams their counts, of contexts (width 4) see _context_codes()."""
         out = np.zeros((len(keys), width), np.float64)
         order = np.lexsort((keys, ranges))
         edges = np.searchsorted(ranges[order], np.arange(self.n + 1))
         for i in np.flatnonzero(np.diff(edges)):
-            stored, places, rows, values = self.array(f"{what}-{i}")
-            if len(stored):
-                mine = order[edges[i] : edges[i + 1]]
-                at = np.minimum(np.searchsorted(stored, keys[mine]), len(stored) - 1)
-                hit = stored[at] == keys[mine]
-                mine, at = mine[hit], at[hit]
-                found = values[at].astype(np.float64)
-                big = np.flatnonzero((found == 255).any(axis=1))
-                found[big] = rows[np.searchsorted(places, at[big])]
-                out[mine] = found
+            if (stored := self.array(f"{what}-{i}")) is None:
+                continue
+            places, rows, index, rest, codes, bits = stored
+            mine = order[edges[i] : edges[i + 1]]
+            lead, want = (keys[mine] >> np.uint64(64 - bits)).astype(np.int64), (keys[mine] << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+            low, end = index[lead].astype(np.int64), index[lead + 1].astype(np.int64)
+            high = end.copy()
+            while (left := low < high).any():
+                middle = (low + high) >> 1
+                less = left & (rest[np.minimum(middle, len(rest) - 1)] < want)
+                low, high = np.where(less, middle + 1, low), np.where(left & ~less, middle, high)
+            hit = low < end
+            hit[hit] = rest[low[hit]] == want[hit]
+            mine, at = mine[hit], low[hit]
+            code = codes[at].astype(np.int64)
+            found = code[:, None] if width == 1 else np.stack(((code & 15) + 2 * (code >> 4), code & 15, code >> 4, np.zeros_like(code)), axis=1)
+            big = np.flatnonzero(code == 255)
+            found[big] = rows[np.searchsorted(places, at[big])]
+            out[mine] = found
         return out
 
     def logs(self, *columns: np.ndarray) -> np.ndarray:
@@ -206,10 +256,10 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
         for batch in sliced(batches, "text", COUNTED):
             vocabulary, codes, offsets = words(batch.column("text"))
             h = np.concatenate((_hashes(vocabulary), NONE))
-            columns = [h[c] for c in _grams(codes, offsets, len(vocabulary), order)[0]]
-            _, at, counts = np.unique(_keys(columns)[1], return_index=True, return_counts=True)
-            columns = [c[at] for c in columns]
-            for i, b in _blocks(columns, counts, _range(_keys(columns)[0], n), n):
+            columns = _grams(codes, offsets, len(vocabulary), order)[0]
+            starts, counts, at = _distinct(_joined(columns, len(h)))
+            columns = [c[at[starts]] for c in columns]
+            for i, b in _blocks(columns, h, counts, _range(_keys([h[c] for c in columns])[0], n), n):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([b], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["part", "b", "n"])
 
     def merge(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,21 +273,26 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
                     parts.setdefault(i, []).append(_unpacked(b))
         for i in list(parts):
             columns, counts = (np.concatenate(x, axis=-1) for x in zip(*parts.pop(i)))
-            context, key = _keys(list(columns))
-            key, counts, at = _merged(key, counts)
-            columns, context = columns[:, at], context[at]
+            key, counts, at = _merged(_keys(list(columns))[1], counts)
+            columns = columns[:, at]
+            context = _keys(list(columns))[0]
             whole = columns[0] != NONE[0]
             own = counts[whole]
-            _stored(folder, f"gram{k}-{i}", key[whole], own[:, None])
+            _stored(folder, f"gram{k}-{i}", key[whole], np.minimum(own, 255), own[own >= 255][:, None])
             if k > 1:
                 contexts, same = np.unique(context[whole], return_inverse=True)
-                of = [np.bincount(same, own, len(contexts)), *(np.bincount(same[sel], minlength=len(contexts)) for sel in (own == 1, own == 2, own > 2))]
-                _stored(folder, f"context{k}-{i}", contexts, np.stack(of, axis=1))
+                of = np.stack([np.bincount(same, own, len(contexts)), *(np.bincount(same[sel], minlength=len(contexts)) for sel in (own == 1, own == 2, own > 2))], axis=1).astype(np.int64)
+                code = _context_codes(of)
+                _stored(folder, f"context{k}-{i}", contexts, code, of[code == 255])
             sent = [(i, None, [k, *_of_counts(own), len(own)])]
             if k > 1:
-                _, counts, at = _merged(_keys(list(columns[1:]))[1], np.where(whole, 1, counts))
-                rest = list(columns[1:, at])
-                sent += [(j, b, None) for j, b in _blocks(rest, counts, _range(_keys(rest)[0], n), n)]
+                h, rest = np.unique(columns[1:], return_inverse=True)
+                rest = list(rest.reshape(k - 1, -1))
+                counts = np.where(whole, 1, counts)
+                starts, _, at = _distinct(_joined(rest, len(h)))
+                counts = np.add.reduceat(counts[at], starts)
+                rest = [c[at[starts]] for c in rest]
+                sent += [(j, b, None) for j, b in _blocks(rest, h, counts, _range(_keys([h[c] for c in rest])[0], n), n)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*sent), (pa.int32(), pa.binary(), pa.list_(pa.int64())))], names=["part", "b", "n"])
 
     kinds = "part int, b binary, n array<bigint>"
@@ -260,9 +315,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             vocabulary, codes, offsets = words(batch.column("text"))
             h = np.concatenate((_hashes(vocabulary), NONE))
             columns, doc = _grams(codes, offsets, len(vocabulary), len(m.levels))
-            columns = [h[c] for c in columns]
-            _, at, same = np.unique(_keys(columns)[1], return_index=True, return_inverse=True)
-            logs = m.logs(*(c[at] for c in columns))[same] if len(at) else np.zeros(0)
+            starts, counts, at = _distinct(_joined(columns, len(h)))
+            logs = np.zeros(len(at))
+            if len(at):
+                logs[at] = np.repeat(m.logs(*(h[c[at[starts]]] for c in columns)), counts)
             n = np.diff(offsets)
             total = np.bincount(doc, logs, len(n))
             none = n == 0
@@ -288,33 +344,36 @@ def _discount(k: int, n: str) -> str:
     return f"CASE WHEN {n}1 * {n}2 * {n}3 * {n}4 = 0 THEN {k / 2} ELSE least(greatest({k} - {k + 1} * ({n}1 / ({n}1 + 2 * {n}2)) * {n}{k + 1} / {n}{k}, 0), {k}) END"
 
 
+def _sql_level(k: int, context: str, lower: str) -> str:
+    """d: discounts of level k; x: the contexts' sums; p: probabilities."""
+    n = ", ".join(f"CAST(count(*) FILTER (WHERE n = {i}) AS DOUBLE) AS n{i}" for i in (1, 2, 3, 4))
+    return f"""n{k} AS (SELECT {n}, count(*) AS kinds FROM g{k}),
+d{k} AS (SELECT {', '.join(f'{_discount(i, "n")} AS d{i}' for i in (1, 2, 3))}, kinds, n1, n2 FROM n{k}),
+""" + (f"""x{k} AS (SELECT {context}, sum(n) AS total, count(*) FILTER (WHERE n = 1) AS k1, count(*) FILTER (WHERE n = 2) AS k2, count(*) FILTER (WHERE n > 2) AS k3 FROM g{k} GROUP BY {context}),
+p{k} AS (SELECT {context}, c, greatest(n - CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, 0) / total + (d1 * k1 + d2 * k2 + d3 * k3) / total * p AS p FROM g{k} JOIN x{k} USING ({context}) JOIN {lower}, d{k})""" if context else "")
+
+
+#: Of order 3.
 SQL = rf"""
 WITH docs AS (
     SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\x0B]+'), lambda x: x <> '') AS w FROM documents
 ), long AS (
-    SELECT r, list_concat([chr(1) || '<s>'], w, [chr(1) || '</s>']) AS w FROM docs WHERE len(w) > 0
+    SELECT r, list_concat([NULL, chr(1) || '<s>'], w, [chr(1) || '</s>']) AS w FROM docs WHERE len(w) > 0
 ), tokens AS (
-    SELECT r, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:]) AS b FROM long
-), pairs AS (
-    SELECT a, b, count(*) AS c FROM tokens GROUP BY a, b
-), lefts AS (
-    SELECT a, sum(c) AS total, count(*) FILTER (WHERE c = 1) AS k1, count(*) FILTER (WHERE c = 2) AS k2, count(*) FILTER (WHERE c > 2) AS k3 FROM pairs GROUP BY a
-), rights AS (
-    SELECT b, count(*) AS k FROM pairs GROUP BY b
-), n AS (
-    SELECT {', '.join(f'CAST(count(*) FILTER (WHERE c = {i}) AS DOUBLE) AS n{i}' for i in (1, 2, 3, 4))}, count(*) AS types FROM pairs
-), m AS (
-    SELECT {', '.join(f'CAST(count(*) FILTER (WHERE k = {i}) AS DOUBLE) AS m{i}' for i in (1, 2, 3, 4))}, count(*) AS kinds FROM rights
-), d AS (
-    SELECT *, {', '.join(f'{_discount(k, "n")} AS d2{k}, {_discount(k, "m")} AS d1{k}' for k in (1, 2, 3))} FROM n, m
-), lower AS (
-    SELECT b, greatest(k - CASE WHEN k = 1 THEN d11 WHEN k = 2 THEN d12 ELSE d13 END, 0) / types
-              + (d11 * m1 + d12 * m2 + d13 * (kinds - m1 - m2)) / types / (kinds + 1) AS p FROM rights, d
-), logs AS (
-    SELECT a, b, ln(greatest(c - CASE WHEN c = 1 THEN d21 WHEN c = 2 THEN d22 ELSE d23 END, 0) / total + (d21 * k1 + d22 * k2 + d23 * k3) / total * p) AS p
-    FROM pairs JOIN lefts USING (a) JOIN lower USING (b), d
-), sums AS (
-    SELECT r, sum(p) AS p FROM tokens JOIN logs USING (a, b) GROUP BY r
+    SELECT r, unnest(w[1:len(w) - 2]) AS a, unnest(w[2:len(w) - 1]) AS b, unnest(w[3:]) AS c FROM long
+), g3 AS (
+    SELECT a, b, c, count(*) AS n FROM tokens WHERE a IS NOT NULL GROUP BY ALL
+), g2 AS (
+    SELECT b, c, count(*) AS n FROM g3 GROUP BY ALL UNION ALL SELECT b, c, count(*) FROM tokens WHERE a IS NULL GROUP BY ALL
+), g1 AS (
+    SELECT c, count(*) AS n FROM g2 GROUP BY c
+), {_sql_level(1, "", "")}
+p1 AS (
+    SELECT c, greatest(n - CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, 0) / types + (d1 * n1 + d2 * n2 + d3 * (kinds - n1 - n2)) / types / (kinds + 1) AS p
+    FROM g1, d1, (SELECT count(*) AS types FROM g2)
+), {_sql_level(2, "b", "p1 USING (c)")}, {_sql_level(3, "a, b", "p2 USING (b, c)")},
+sums AS (
+    SELECT r, sum(ln(coalesce(p3.p, p2.p))) AS p FROM tokens LEFT JOIN p3 USING (a, b, c) JOIN p2 USING (b, c) GROUP BY r
 )
 SELECT doc_id, len(w) AS n_words, round(p, 4) AS log_probability, round(exp(-p / (len(w) + 1)), 2) AS perplexity FROM docs LEFT JOIN sums USING (r)
 """
