@@ -19,7 +19,7 @@ from .common import fresh_dir, local_path, mix, partitions, sliced, word_hashes,
 #: Words of the longest grams: one to predict, and its context.
 ORDER = 3
 #: Bytes of text whose grams a worker counts before they are sent, and scores at once.
-COUNTED, SCORED = 12 << 20, 6 << 20
+COUNTED, SCORED = 24 << 20, 6 << 20
 FIRST, FINAL = "\x00<s>", "\x00</s>"
 #: Stands in a gram for what would be before a text's beginning.
 NONE = word_hashes(["\x00"]) >> np.uint64(16)
@@ -85,14 +85,28 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(keys))), order
 
 
+def _planes(x: np.ndarray, item: int) -> bytes:
+    """The numbers of each row byte by byte, the lowest bytes of all first: what compresses well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(*x.shape, 8)[..., :item].swapaxes(-1, -2)).tobytes()
+
+
+def _from_planes(x: bytes, at: int, rows: int, n: int, item: int) -> np.ndarray:
+    out = np.zeros((rows, n, 8), np.uint8)
+    out[..., :item] = np.frombuffer(x, np.uint8, rows * item * n, at).reshape(rows, item, n).swapaxes(1, 2)
+    return out.view("<u8")[..., 0]
+
+
 def _packed(columns: list[np.ndarray], hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Grams of codes into hashes: the 48-bit hashes that occur, often ones first, then places in them, sorted by the first words, and counts.
+    """Grams of codes into hashes: the 48-bit hashes that occur, places in them, sorted by the first words, and counts.
 
-    The first column is kept as differences, and all numbers byte by byte, which compresses well.
+    Hashes are in classes (how often they occur, by powers of two; often ones first), in order in each. They and the first
+    column are kept as differences.
     """
     often = np.bincount(np.concatenate(columns), minlength=len(hashes))
     there = np.flatnonzero(often)
-    there = there[np.argsort(-often[there], kind="stable")]
+    level = np.frexp(often[there])[1]
+    order = np.lexsort((hashes[there], -level))
+    there = there[order]
     place = np.zeros(len(hashes), np.int64)
     place[there] = np.arange(len(there))
     columns = [place[c] for c in columns]
@@ -101,21 +115,22 @@ def _packed(columns: list[np.ndarray], hashes: np.ndarray, counts: np.ndarray) -
     columns[0] = np.diff(columns[0], prepend=0)
     item = 2 if len(h) <= 1 << 16 else 4
     large = np.flatnonzero(counts > 254)
-    planes = np.stack(columns).astype(f"<u{item}").view(np.uint8).reshape(len(columns), -1, item).transpose(0, 2, 1)
     sizes = np.array([len(columns), len(counts), len(h), len(large), item], np.int64)
-    packed = zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[large].astype(np.int64).tobytes())
-    return b"".join((sizes.tobytes(), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (h >> np.uint64(32)).astype(np.uint16).tobytes(), packed))
+    gaps = np.diff(h, prepend=np.uint64(0)) & np.uint64((1 << 48) - 1)  # modulo 2**48 where a class begins
+    parts = (_planes(gaps[None], 6), _planes(np.stack(columns), item), np.minimum(counts, 255).astype(np.uint8).tobytes(), counts[large].astype(np.int64).tobytes())
+    return sizes.tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def _unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A row of hashes for each word of the grams, and the counts."""
     width, n, k, large, item = np.frombuffer(x, np.int64, 5).tolist()
-    h = np.frombuffer(x, np.uint32, k, 40).astype(np.uint64) | np.frombuffer(x, np.uint16, k, 40 + 4 * k).astype(np.uint64) << np.uint64(32)
-    rest = zstandard.ZstdDecompressor().decompress(x[40 + 6 * k :])
-    place = np.frombuffer(rest, np.uint8, width * item * n).reshape(width, item, n).transpose(0, 2, 1).copy().view(f"<u{item}")[..., 0].astype(np.int64)
+    rest = zstandard.ZstdDecompressor().decompress(x[40:])
+    h = np.cumsum(_from_planes(rest, 0, 1, k, 6)[0], dtype=np.uint64) & np.uint64((1 << 48) - 1)
+    place = _from_planes(rest, 6 * k, width, n, item).astype(np.int64)
     place[0] = np.cumsum(place[0])
-    counts = np.frombuffer(rest, np.uint8, n, width * item * n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(rest, np.int64, large, (width * item + 1) * n)
+    at = 6 * k + width * item * n
+    counts = np.frombuffer(rest, np.uint8, n, at).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(rest, np.int64, large, at + n)
     return h[place], counts
 
 
@@ -129,17 +144,18 @@ def _blocks(columns: list[np.ndarray], hashes: np.ndarray, counts: np.ndarray, t
 
 
 def _stored(folder: str, name: str, keys: np.ndarray, codes: np.ndarray, rows: np.ndarray) -> None:
-    """A sorted hash array: of each key, its leading bits as a place in an index, and the 32 bits after them; a byte of value.
+    """A sorted hash array: of each key, its leading bits as a place in an index, and the 24 bits after them; a byte of value.
 
+    Of n keys in a file, about log2(n) + 21 bits tell them apart: one in four million keys has another's value.
     Where the byte is 255, the value is a row of rows. The file is there whole or not at all, whichever attempt of a task
     writes it.
     """
     bits = min(24, max(1, len(keys).bit_length() - 3))
     index = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    large = np.flatnonzero(codes == 255)
+    large, rest = np.flatnonzero(codes == 255), keys << np.uint64(bits) >> np.uint64(40)
     part = f"{folder}/.{name}-{uuid.uuid4().hex}"
     with open(part, "wb") as f:
-        for x in (np.array([len(keys), bits, len(large), rows.shape[1]], np.int64), large.astype(np.int64), rows.astype(np.int64), index.astype(np.uint32), (keys << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), codes.astype(np.uint8)):
+        for x in (np.array([len(keys), bits, len(large), rows.shape[1]], np.int64), large.astype(np.int64), rows.astype(np.int64), index.astype(np.uint32), (rest & np.uint64(0xFFFF)).astype(np.uint16), codes.astype(np.uint8), (rest >> np.uint64(16)).astype(np.uint8)):
             f.write(x.tobytes())
     os.replace(part, f"{folder}/{name}")
 
@@ -185,9 +201,9 @@ class Model:
             return None
         x = np.memmap(path, np.uint8, "r")
         n, bits, large, width = x[:32].view(np.int64).tolist()
-        ends = np.cumsum([32, 8 * large, 8 * large * width, 4 * ((1 << bits) + 1), 4 * n, n])
-        places, rows, index, keys, codes = (x[a:b] for a, b in zip(ends, ends[1:]))
-        return places.view(np.int64), rows.view(np.int64).reshape(-1, width), index.view(np.uint32), keys.view(np.uint32), codes, bits
+        ends = np.cumsum([32, 8 * large, 8 * large * width, 4 * ((1 << bits) + 1), 2 * n, n, n])
+        places, rows, index, low, codes, high = (x[a:b] for a, b in zip(ends, ends[1:]))
+        return places.view(np.int64), rows.view(np.int64).reshape(-1, width), index.view(np.uint32), low.view(np.uint16), high, codes, bits
 
     def find(self, what: str, ranges: np.ndarray, keys: np.ndarray, width: int = 1) -> np.ndarray:
         """The values of keys, 0 where there is none: of grams their counts, of contexts (width 4) see _context_codes()."""
@@ -197,17 +213,21 @@ class Model:
         for i in np.flatnonzero(np.diff(edges)):
             if (stored := self.array(f"{what}-{i}")) is None:
                 continue
-            places, rows, index, rest, codes, bits = stored
+            places, rows, index, low_bits, high_bits, codes, bits = stored
             mine = order[edges[i] : edges[i + 1]]
-            lead, want = (keys[mine] >> np.uint64(64 - bits)).astype(np.int64), (keys[mine] << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+            lead, want = (keys[mine] >> np.uint64(64 - bits)).astype(np.int64), (keys[mine] << np.uint64(bits) >> np.uint64(40)).astype(np.int64)
+
+            def rest(at: np.ndarray) -> np.ndarray:
+                return high_bits[at].astype(np.int64) << 16 | low_bits[at]  # noqa: B023
+
             low, end = index[lead].astype(np.int64), index[lead + 1].astype(np.int64)
             high = end.copy()
             while (left := low < high).any():
                 middle = (low + high) >> 1
-                less = left & (rest[np.minimum(middle, len(rest) - 1)] < want)
+                less = left & (rest(np.minimum(middle, len(codes) - 1)) < want)
                 low, high = np.where(less, middle + 1, low), np.where(left & ~less, middle, high)
             hit = low < end
-            hit[hit] = rest[low[hit]] == want[hit]
+            hit[hit] = rest(low[hit]) == want[hit]
             mine, at = mine[hit], low[hit]
             code = codes[at].astype(np.int64)
             found = code[:, None] if width == 1 else np.stack(((code & 15) + 2 * (code >> 4), code & 15, code >> 4, np.zeros_like(code)), axis=1)
@@ -231,6 +251,14 @@ class Model:
             c = self.find(f"gram{k}", _range(context, self.n), key)[:, 0]
             contexts, same = np.unique(context, return_inverse=True)
             of = self.find(f"context{k}", _range(contexts, self.n), contexts, 4)
+            if k > 2 and len(lone := np.flatnonzero(of[:, 0] == 0)):  # it has one continuation, which occurs once, if it is there
+                before = np.zeros(len(contexts), np.int64)
+                before[same] = np.arange(len(same))
+                there = np.bincount(same, c, len(contexts))[lone] > 0
+                unsure = lone[~there]
+                shorter, own = _keys([x[before[unsure]] for x in columns[-k:-1]])
+                there[~there] = self.find(f"gram{k - 1}", _range(shorter, self.n), own)[:, 0] > 0
+                of[lone[there]] = (1, 1, 0, 0)
             total = of[:, 0]
             spare = np.where(total > 0, (of[:, 1:] @ d[1:]) / np.maximum(total, 1), 1.0)[same]
             p = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / np.maximum(total, 1)[same] + spare * p
@@ -283,6 +311,9 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
                 contexts, same = np.unique(context[whole], return_inverse=True)
                 of = np.stack([np.bincount(same, own, len(contexts)), *(np.bincount(same[sel], minlength=len(contexts)) for sel in (own == 1, own == 2, own > 2))], axis=1).astype(np.int64)
                 code = _context_codes(of)
+                if k > 2:  # not those that the shorter grams imply, see Model.logs()
+                    some = code != 1
+                    contexts, code, of = contexts[some], code[some], of[some]
                 _stored(folder, f"context{k}-{i}", contexts, code, of[code == 255])
             sent = [(i, None, [k, *_of_counts(own), len(own)])]
             if k > 1:

@@ -195,6 +195,20 @@ def test_each_order_equals_brute_force(spark, order):
     assert np.allclose([got[i] for i in range(len(texts))], kneser_ney(texts, order), atol=1e-3)
 
 
+def test_unseen_words_leave_what_shorter_contexts_say(spark):
+    """Sums to one after contexts with one continuation, with many, and unseen ones."""
+    docs = spark.createDataFrame([(i, sentence(random.Random(i % 9), 12)) for i in range(18)], "doc_id bigint, text string")
+    model = ngram.fit(docs, 3)
+    vocabulary = sorted({w for r in docs.collect() for w in r["text"].split()})
+    every = ngram._hashes(vocabulary)
+    right, first = np.append(every[:-2], every[-1]), docs.first()["text"].split()
+    at = {w: h for w, h in zip(vocabulary, every)}
+    for a, b in ((at[first[0]], at[first[1]]), (every[-2], at[first[0]]), (at[first[5]], at[first[1]]), (ngram._hashes(["unseen"])[0], at[first[1]]), (at[first[1]], ngram._hashes(["unseen"])[0])):
+        sides = [np.full(len(right), x) for x in (a, b)]
+        total = np.exp(model.logs(*sides, right)).sum() + np.exp(model.logs(np.array([a]), np.array([b]), ngram._hashes(["other unseen"])[:1]))[0]
+        assert abs(total - 1) < 1e-9
+
+
 def test_production_tells_stitched_pairs_from_phrases(spark):
     """All of a text's pairs are common, but not in a row; a model of bigrams can't see it."""
     texts = ["x a b", "y b c", "z c d", "x a b q", "y b c q", "z c d q"] * 20 + ["a b c d"]
