@@ -344,20 +344,56 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert None in kept
 
 
-def test_distances_equal_brute_force(spark):
-    """The last concentration step holds: each estimate is that of the nearest share, and distances follow from it."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    table, rates = quality.statistics(docs)
-    fitted = {e["level"]: e for e in quality.fit(table, rates, least=40).collect()}
-    got = {(r["doc_id"], r["lang"], r["source"]): r["distance"] for r in quality.within_limits(docs, distance=1e9, least=40).collect()}
+def least_determinant(x, floor, support, tries=200):
+    """Mean and determinant of the best subset of a share of x that concentration steps from many random ones lead to."""
+    r = np.random.default_rng(0)
+    h, found = int(np.ceil(support * len(x))), (np.inf, None)
+    for _ in range(tries):
+        own = x[r.choice(len(x), 6, replace=False)]
+        for _ in range(60):
+            mu, cov = own.mean(axis=0), np.cov(own.T, bias=True) + np.diag(floor)
+            d = np.einsum("ij,jk,ik->i", x - mu, np.linalg.inv(cov), x - mu)
+            own = x[np.argsort(d, kind="stable")[:h]]
+        found = min(found, (np.linalg.det(np.cov(own.T, bias=True) + np.diag(floor)), own.mean(axis=0).tolist()))
+    return found
+
+
+def test_estimates_equal_brute_force(spark):
+    """Beside a fifth of outliers on one side, which medians and deviations are drawn to, and in a group without any."""
+    r = np.random.default_rng(21)
+    mixing_ = r.normal(size=(4, 4))
+    a = r.normal(size=(400, 4)) @ mixing_
+    a[:80] = r.normal(size=(80, 4)) * 0.3 + [6, -5, 4, 9]
+    b = r.normal(size=(150, 4)) @ r.normal(size=(4, 4)) + 3
+    c = np.array([[1.0, 2.0, 3.0, 4.0]])
+    floor = [1e-3] * 4
+    rows = spark.createDataFrame([(k, *map(float, v)) for k, x in (("a", a), ("b", b), ("c", c)) for v in x], "key string, x0 double, x1 double, x2 double, x3 double")
+    got = {e["key"]: e for e in quality.best(rows, floor).collect()}
+    for k, x in (("a", a), ("b", b)):
+        det, mu = least_determinant(x, floor, quality.SUPPORT)
+        assert 0.95 * det < got[k]["det"] < 1.03 * det
+        assert np.allclose(got[k]["mu"], mu, atol=0.1 if k == "a" else 0.3)  # many subsets of b are nearly as good
+    assert np.allclose(got["c"]["mu"], c[0]) and got["c"]["n"] == 1
+
+
+def test_judged_as_by_the_estimates(spark, monkeypatch):
+    """Distances follow from the estimates of fit(), whether these are broadcast or salted; a group of one is judged by its pool."""
     from pyspark.sql import functions as F
 
-    rows = table.where("w > 0").select("doc_id", "lang", "source", quality.keys()[0].alias("level"), *quality.vector(*map(F.lit, rates))).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.expr("if(doc_id = 7, 'own', lang)").alias("lang"), "source")
+    table, rates = quality.statistics(docs)
+    fitted = {e["level"]: e for e in quality.fit(table, rates).collect()}
+    rows = table.where("w > 0").select("row.doc_id", quality.keys()[0].alias("level"), *quality.vector(*map(F.lit, rates))).collect()
+    got = {r["doc_id"]: r["distance"] for r in quality.within_limits(docs, distance=1e9).collect()}
     assert len(rows) == len(got)
     for r in rows:
         e = fitted[r["level"]]
         z = np.array([r[x] for x in quality.X]) - np.array(e["mu"])
-        assert np.isclose(np.sqrt(z @ np.array(e["inverse"]).reshape(4, 4) @ z / e["scale"]), got[r["doc_id"], r["lang"], r["source"]])
+        assert np.isclose(np.sqrt(z @ np.array(e["inverse"]).reshape(4, 4) @ z / e["scale"]), got[r["doc_id"]])
+    assert 0 < got[7] < 20
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    salted = {r["doc_id"]: r["distance"] for r in quality.within_limits(docs, distance=1e9).collect()}
+    assert salted.keys() == got.keys() and all(np.isclose(salted[k], got[k]) for k in got)
 
 
 # --- 9: suffix-array dedup ---
