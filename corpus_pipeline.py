@@ -20,7 +20,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; what a stage returns is written to the shared folder and read again as the next one's documents."""
+    """The rows of the last stage; what a stage returns is written to the shared folder and read again as the next one's documents.
+
+    Nulls, empty and long texts, ties and repeated rows are treated as the stages' docstrings say: the first drops texts
+    without a word, the second makes repeated rows one, and rows without doc_id stay documents throughout. All columns of
+    documents, further ones too, pass to the last stage. An empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         path = fresh_dir(spark, "stage")

@@ -10,11 +10,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import fresh, hash_range, partitions, sliced
+from .common import fresh, hash_range, partitions, sliced, written
 
 LINES = "h1 bigint, h2 bigint, doc_id bigint, text_md5 string, pos int, n_lines int"
 LINES_ARROW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_md5", pa.string()), ("pos", pa.int32()), ("n_lines", pa.int32())])
@@ -37,7 +37,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         digests = b"".join(xxhash.xxh3_128_digest(x) for x in flat.to_pylist())
         both = np.frombuffer(digests, dtype=">i8").astype(np.int64).reshape(-1, 2)
-        blank = pc.equal(pc.binary_length(pc.utf8_trim_whitespace(flat)), 0).to_numpy(zero_copy_only=False).astype(bool)
+        blank = pc.equal(pc.binary_length(pc.ascii_trim_whitespace(flat)), 0).to_numpy(zero_copy_only=False).astype(bool)
         ids = pc.fill_null(doc, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)[row]
         md5_rank = np.unique(np.array([m or "" for m in md5]), return_inverse=True)[1][row] if len(md5) else row
         order = np.lexsort((pos, md5_rank, ids, both[:, 1], both[:, 0]))
@@ -90,19 +90,8 @@ def bits(keep: str) -> np.ndarray:
     return np.repeat(np.arange(len(lengths)) % 2 == 0, lengths)
 
 
-def line_bitmaps(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_md5, n_lines, n_kept, keep): which lines of each document occur for the first time.
-
-    Lines are what "\\n" separates, compared byte by byte through 128-bit hashes, in the order of doc_id (nulls first),
-    MD5 of the text and position. Blank lines are always kept. keep: see runs().
-
-    Rows with the same doc_id and text are one document; other rows with a doc_id in common, or null in doc_id, are
-    documents of their own. A null text has no line (n_lines 0, keep "", text_md5 null); an empty text has one blank line.
-    An empty table gives an empty result. Other columns are not read.
-
-    The hashes are range-partitioned (ranges of equal width, as hashes are uniform: no sampling pass) and sorted within a
-    range by hash, document and position; one pass then streams first occurrences. The text itself is never shuffled.
-    """
+def _bitmaps(docs: DataFrame) -> DataFrame:
+    """The rows of line_bitmaps(), and n_rows: how many rows a document has."""
     spark = docs.sparkSession
     n = partitions(spark)
     lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_lines, LINES)
@@ -114,8 +103,25 @@ def line_bitmaps(docs: DataFrame) -> DataFrame:
         return pd.Series([runs(k, int(m)) for k, m in zip(kept, n_lines)], dtype=object)
 
     line = F.col("pos") != DOCUMENT
-    by_doc = firsts.groupBy("doc_id", "text_md5").agg(F.collect_set(F.when(line, F.col("pos"))).alias("kept"), F.max(F.when(~line, F.col("n_lines"))).alias("n_lines"))
-    return by_doc.select("doc_id", "text_md5", "n_lines", F.size("kept").alias("n_kept"), encode("kept", "n_lines").alias("keep"))
+    by_doc = firsts.groupBy("doc_id", "text_md5").agg(F.collect_set(F.when(line, F.col("pos"))).alias("kept"), F.max(F.when(~line, F.col("n_lines"))).alias("n_lines"), F.count_if(~line).alias("n_rows"))
+    return by_doc.select("doc_id", "text_md5", "n_lines", F.size("kept").alias("n_kept"), encode("kept", "n_lines").alias("keep"), "n_rows")
+
+
+def line_bitmaps(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_md5, n_lines, n_kept, keep): which lines of each document occur for the first time.
+
+    Lines are what "\\n" separates, compared byte by byte through 128-bit hashes, in the order of doc_id (nulls first),
+    MD5 of the text and position. Blank lines, of ASCII white space alone (blank, \\t, \\v, \\f, \\r) or nothing, are always
+    kept. keep: see runs(). Long texts are taken whole.
+
+    Rows with the same doc_id and text are one document; other rows with a doc_id in common, or null in doc_id, are
+    documents of their own. A null text has no line (n_lines 0, keep "", text_md5 null); an empty text has one blank line.
+    An empty table gives an empty result. Other columns are not read, whatever their names.
+
+    The hashes are range-partitioned (ranges of equal width, as hashes are uniform: no sampling pass) and sorted within a
+    range by hash, document and position; one pass then streams first occurrences. The text itself is never shuffled.
+    """
+    return _bitmaps(docs).drop("n_rows")
 
 
 @F.pandas_udf(StringType())
@@ -126,18 +132,27 @@ def _apply(text: pd.Series, keep: pd.Series) -> pd.Series:
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents with only the lines that line_bitmaps() keeps, n_chars following; all columns stay.
 
-    Rows with the same doc_id and text become one. Documents that lose lines and have none left but blank ones go;
-    documents that were blank or null before stay as they are.
+    Rows with the same doc_id and text become one (any of them, if other columns differ). Documents that lose lines and
+    have none left but blank ones go; documents that were blank or null before stay as they are. Nulls, ties and long
+    texts: see line_bitmaps(). An empty table gives an empty result; names of other columns don't matter.
+
+    Only what changes is joined to the documents: by one key, so that texts are shuffled once at most, and not at all
+    where few documents change.
     """
-    md5 = fresh(docs, "line_md5")
-    name = {c: fresh(docs, "line_of_" + c) for c in ("doc_id", "text_md5", "n_lines", "n_kept", "keep")}
-    maps = line_bitmaps(docs).select(*[F.col(a).alias(b) for a, b in name.items()])
-    left = docs.withColumn(md5, F.md5("text"))
-    joined = left.join(maps, F.col("doc_id").eqNullSafe(F.col(name["doc_id"])) & F.col(md5).eqNullSafe(F.col(name["text_md5"])))
-    one = joined.dropDuplicates(["doc_id", md5])
-    short = F.col(name["n_kept"]) < F.col(name["n_lines"])
-    text = F.when(short, _apply(F.when(short, F.col("text")), F.col(name["keep"]))).otherwise(F.col("text"))
-    out = one.withColumn("text", text).where(~short | (F.length(F.regexp_replace("text", r"\s", "")) > 0))
+    key, n_lines, n_kept, n_rows, keep = (fresh(docs, "line_" + c) for c in ("key", "n_lines", "n_kept", "n_rows", "keep"))
+
+    def key_of(doc_id: Column, md5: Column) -> Column:
+        return F.concat_ws("|", F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("null")), F.coalesce(md5, F.lit("null"))).alias(key)
+
+    maps = _bitmaps(docs).where("n_kept < n_lines OR n_rows > 1")
+    maps = maps.select(key_of(F.col("doc_id"), F.col("text_md5")), F.col("n_lines").alias(n_lines), F.col("n_kept").alias(n_kept), F.col("n_rows").alias(n_rows), F.col("keep").alias(keep))
+    maps = written(maps, "lines")  # so that its size is known to the optimizer
+    joined = docs.select("*", key_of(F.col("doc_id"), F.md5(F.col("text").cast("string")))).join(maps, key, "left")
+    several = F.coalesce(F.col(n_rows), F.lit(1)) > 1
+    one = joined.where(~several).unionByName(joined.where(several).dropDuplicates([key]))
+    short = F.coalesce(F.col(n_kept) < F.col(n_lines), F.lit(False))
+    text = F.when(short, _apply(F.when(short, F.col("text")), F.col(keep))).otherwise(F.col("text"))
+    out = one.withColumn("text", text).where(~short | F.rlike("text", F.lit(r"[^ \t\n\r\f\x0B]")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(short, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
@@ -148,7 +163,7 @@ WITH lines AS (
     SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
     FROM (SELECT DISTINCT doc_id, text FROM documents)
 ), ranked AS (
-    SELECT doc_id, text, pos, trim(line, ' ' || chr(9) || chr(13)) = '' OR row_number() OVER (PARTITION BY line ORDER BY doc_id NULLS FIRST, md5(text), pos) = 1 AS kept
+    SELECT doc_id, text, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) = '' OR row_number() OVER (PARTITION BY line ORDER BY doc_id NULLS FIRST, md5(text), pos) = 1 AS kept
     FROM lines
 ), changes AS (
     SELECT *, pos - row_number() OVER (PARTITION BY doc_id, text, kept ORDER BY pos) AS island FROM ranked

@@ -29,7 +29,7 @@ def hard_documents():
     """Nulls, empty and blank texts, a very long one, ties, repeated rows, one doc_id with two texts, shared passages."""
     r = random.Random(1)
     passage, long = sentence(r, 60), sentence(r, 3000)  # SQL is slow on longer ones; see test_very_long_text
-    texts = [(None, None), (None, ""), (None, "no id\nno id"), (1, None), (2, ""), (3, " \n\t\n"), (4, "a line\na line\nb"), (4, "a line\na line\nb"), (4, "another text\nb"), (5, long), (6, f"start {passage} end"), (7, f"x {passage}"), (7, f"x {passage}"), (8, f"{passage} {passage}"), (9, "!!! ???"), (10, "a line"), (11, "é ß <|im_end|> " + sentence(r, 30))]
+    texts = [(None, None), (None, ""), (None, "no id\nno id"), (1, None), (2, ""), (3, " \n\t\n"), (4, "a line\na line\nb"), (4, "a line\na line\nb"), (4, "another text\nb"), (5, long), (6, f"start {passage} end"), (7, f"x {passage}"), (7, f"x {passage}"), (8, f"{passage} {passage}"), (9, "!!! ???"), (10, "a line"), (12, "\x0b\n\u00a0\n\x0c \r\nv"), (13, "\x0b\n\u00a0\nw\n\u00a0"), (11, "é ß <|im_end|> " + sentence(r, 30))]
     return [(d, t, (None, "en")[i % 3 > 0], (None, "src0", "src1")[i % 3], None if t is None else len(t), *([None] * 11)) for i, (d, t) in enumerate(texts)]
 
 
@@ -144,6 +144,30 @@ def test_kept_lines(spark, hard):
     assert all(n == len(t) for (_, t), n in out.items() if t)
 
 
+def test_kept_lines_equal_brute_force(spark, hard):
+    """Also on a text of 30,000 lines, and on one with as many words in a line."""
+    r = random.Random(22)
+    rows = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{hard}/documents.parquet").collect()]
+    rows += [(100, "\n".join(sentence(r, 2) for _ in range(30_000)) + "\na line"), (101, sentence(r, 30_000)), (102, "own\n" + rows[3][1] if rows[3][1] else "own\na line")]
+    import hashlib
+
+    def order(x):
+        return (x[0] is not None, x[0] or 0, x[1] is not None and hashlib.md5(x[1].encode()).hexdigest() or "")
+
+    seen, want = set(), []
+    for d, t in sorted(set(rows), key=order):
+        lines = [] if t is None else t.split("\n")
+        kept = []
+        for x in lines:
+            if not x.strip(" \t\r\f\v") or x not in seen:
+                kept.append(x)
+            seen.add(x)
+        if len(kept) == len(lines) or "".join(kept).strip(" \t\r\f\v"):
+            want.append((d, None if t is None else "\n".join(kept)))
+    got = [(x["doc_id"], x["text"]) for x in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 # --- 3: language model ---
 
 
