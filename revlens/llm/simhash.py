@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -17,15 +18,17 @@ from .components import components
 #: Bits of a signature that near copies may differ in; share of words that they have in common at least.
 BITS, RADIUS, SHARE = 128, 30, 0.6
 #: Nodes of a shard, about: at most (what a task holds), and at least where there are tasks enough for more shards.
-SHARD, LEAST = 1 << 19, 1 << 16
+SHARD, LEAST = 1 << 18, 1 << 16
 #: Orders of a shard's signatures, neighbours compared to either side in each, links to near nodes, beam to begin with and at its widest.
-ORDERS, WINDOW, LINKS, BEAM, WIDEST = 24, 4, 8, 8, 64
+ORDERS, WINDOW, LINKS, BEAM, WIDEST = 128, 1, 8, 8, 64
 #: Signatures that are audited by exact search at first and at most, and the recall asked of the search.
 AUDITED, MOST_AUDITED, RECALL = 256, 4096, 0.95
 #: Near copies of a signature in a small group, at most; so many of such signatures are to be audited.
 SMALL, ENOUGH = 8, 256
+#: Bits that an order sorts by; queries of a block, about, where there are so many.
+SORTED, QUERIES = 32, 1 << 20
 #: The search is repeated with up to so many orders; then all pairs are compared, in blocks of so many signatures.
-MOST_ORDERS, BLOCK = 96, 1 << 15
+MOST_ORDERS, BLOCK = 256, 1 << 15
 
 SECOND = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.int64(255 << 32 | 0xFFFFFFFF)
@@ -73,13 +76,26 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("body").take(at), pa.array(ids, pa.int64()), *map(pa.array, h), pa.array(sets, pa.binary())], schema=SIGNATURE)
 
 
-def permuted(h: np.ndarray, t: int) -> np.ndarray:
-    """64 of the 128 bits, in the order of table t, as integers to sort by."""
-    order = np.random.default_rng(1000 + t).permutation(BITS)[:64]
-    out = np.empty(len(h), np.uint64)
-    for a in range(0, len(h), 1 << 15):
-        bits = np.unpackbits(h[a : a + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, BITS // 8), axis=1)
-        out[a : a + (1 << 15)] = np.packbits(bits[:, order], axis=1).reshape(-1).view(">u8")
+@functools.cache
+def _tables(t: int) -> np.ndarray:
+    """For each byte of a signature and its value, the bits that it gives to the keys of order t."""
+    out = np.zeros((BITS // 8, 256), np.uint32)
+    for place, bit in enumerate(np.random.default_rng(1000 + t).permutation(BITS)[:SORTED].tolist()):
+        out[bit // 8, np.arange(256) >> (7 - bit % 8) & 1 == 1] |= np.uint32(1 << (SORTED - 1 - place))
+    return out
+
+
+def _bytes(h: np.ndarray) -> np.ndarray:
+    """A row for each byte of the signatures."""
+    return np.ascontiguousarray(h.astype(">u8").view(np.uint8).reshape(-1, BITS // 8).T)
+
+
+def permuted(columns: np.ndarray, t: int) -> np.ndarray:
+    """SORTED bits of the signatures with these bytes, in the order of table t, as integers to sort by."""
+    tables = _tables(t)
+    out = tables[0][columns[0]]
+    for table, column in zip(tables[1:], columns[1:]):
+        out |= table[column]
     return out
 
 
@@ -109,20 +125,21 @@ class Graph:
         n = len(h)
         self.h, self.sorted, self.place = h, [], []
         best = np.full((n, LINKS), NONE)
-        for t in range(orders):
-            key = permuted(h, t)
-            place = np.argsort(key, kind="stable").astype(np.int32)
-            self.sorted.append(key[place])
-            self.place.append(place)
-            for a in range(0, n, 1 << 15):
-                mine = np.arange(a, min(n, a + (1 << 15)))
-                near = [best[place[mine]]]
-                for off in (x for o in range(1, WINDOW + 1) for x in (-o, o)):
-                    at = mine + off
-                    ok = (at >= 0) & (at < n)
-                    other = place[np.where(ok, at, mine)]
-                    near.append(np.where(ok, _keys(distance(h[place[mine]], h[other]), other), NONE)[:, None])
-                best[place[mine]] = _nearest(np.concatenate(near, axis=1), LINKS)
+        columns = _bytes(h)
+        for first in range(0, orders, 8):  # so many at once are merged into the nearest so far
+            near = [best]
+            for t in range(first, min(orders, first + 8)):
+                key = permuted(columns, t)
+                place = np.argsort(key, kind="stable").astype(np.int32)
+                self.sorted.append(key[place])
+                self.place.append(place)
+                s = h[place]
+                for off in range(1, min(WINDOW, n - 1) + 1):
+                    d = distance(s[:-off], s[off:])
+                    for here, there in ((place[:-off], place[off:]), (place[off:], place[:-off])):
+                        near.append(np.full((n, 1), NONE))
+                        near[-1][here, 0] = _keys(d, there)
+            best = np.concatenate([_nearest(np.concatenate([x[a : a + (1 << 15)] for x in near], axis=1), LINKS) for a in range(0, n, 1 << 15)]) if n else best
         node = self._nodes(best)
         for a in range(0, n, 1 << 14):  # the links' links are near, too
             mine = np.arange(a, min(n, a + (1 << 14)))
@@ -146,8 +163,9 @@ class Graph:
         """
         n = len(self.h)
         if start is None:
-            at = [np.searchsorted(s, permuted(q, t)) for t, s in enumerate(self.sorted)]
-            new = np.concatenate([p[np.clip(x[:, None] + np.arange(-2, 2), 0, n - 1)] for p, x in zip(self.place, at)], axis=1)
+            columns = _bytes(q)
+            at = [np.searchsorted(s, permuted(columns, t)) for t, s in enumerate(self.sorted)]
+            new = np.concatenate([p[np.clip(x[:, None] + np.arange(-WINDOW, WINDOW), 0, n - 1)] for p, x in zip(self.place, at)], axis=1)
         else:
             new = np.where(start == NONE, -1, start & 0xFFFFFFFF).astype(np.int32)
         beams = np.full((len(q), beam), NONE)
@@ -212,7 +230,7 @@ def candidates(nodes: DataFrame, radius: int = RADIUS, orders: int = ORDERS) ->
     n, spark = nodes.count(), nodes.sparkSession
     tasks = spark.sparkContext.defaultParallelism
     shards = max(1, math.ceil(n / SHARD), min(math.isqrt(tasks), n // LEAST))
-    blocks = max(shards, math.ceil(tasks / shards))
+    blocks = max(math.ceil(n / QUERIES), math.ceil(tasks / shards))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
