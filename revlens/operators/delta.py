@@ -29,10 +29,14 @@ def delta(states: DataFrame) -> DataFrame:
     return rows.withColumns({"triple_deletions": changed("old", "now"), "triple_additions": changed("now", "old")}).drop("triples", "now", "old")
 
 
+def flattened(states: DataFrame) -> DataFrame:
+    """(page_id, revision_id, pos, subject, predicate, object_): one row for each triple of a state, with its place."""
+    return states.where(F.col("triples").isNotNull()).select("page_id", "revision_id", F.posexplode("triples").alias("pos", "t")).select("page_id", "revision_id", "pos", "t.*")
+
+
 def exploded(states: DataFrame) -> DataFrame:
     """(page_id, revision_id, subject, predicate, object_, object_key): one row for each distinct triple of a state."""
-    flat = states.where(F.col("triples").isNotNull()).select("page_id", "revision_id", F.posexplode("triples").alias("pos", "t"))
-    return distinct_state(flat.select("page_id", "revision_id", "pos", "t.*"))
+    return distinct_state(flattened(states))
 
 
 def distinct_state(flat: DataFrame) -> DataFrame:
@@ -43,14 +47,21 @@ def distinct_state(flat: DataFrame) -> DataFrame:
 def edges(revisions: DataFrame, state: DataFrame) -> DataFrame:
     """(page_id, revision_id, timestamp, op, subject, predicate, object_, object_key): what each revision adds and deletes.
 
-    revisions: (page_id, revision_id, timestamp), the converted ones; state: see exploded(). Revisions of a page are
-    numbered; a triple is added where its last number isn't the one before, and deleted after its last number of a run.
-    State rows are only compared within (page, triple), so that no page's whole state is ever held.
+    revisions: (page_id, revision_id, timestamp), the converted ones; state: see flattened() or exploded(); of equal triples
+    of a revision the first counts. Revisions of a page are numbered; a triple is added where its last number isn't the
+    one before, and deleted after its last number of a run.
+
+    The numbers, one row for each revision, are joined to the triples, and these go once to partitions of (page, triple),
+    where equal ones of a revision meet and runs are found; no page's whole state is ever held.
     """
     page = Window.partitionBy("page_id").orderBy("revision_id")
     numbered = revisions.select("page_id", "revision_id", "timestamp", F.row_number().over(page).alias("nr"), F.lead("revision_id").over(page).alias("next_id"), F.lead("timestamp").over(page).alias("next_time"))
+    rows = state.withColumn("object_key", object_key(F.col("object_"))).join(numbered, ["page_id", "revision_id"]).repartition("page_id", *KEY)
+    if "pos" in state.columns:
+        rest = ["nr", "revision_id", "timestamp", "next_id", "next_time"]
+        rows = rows.groupBy("page_id", *KEY, *rest).agg(F.min_by("object_", "pos").alias("object_"))
     of_key = Window.partitionBy("page_id", *KEY).orderBy("nr")
-    rows = state.join(numbered, ["page_id", "revision_id"]).withColumns({"last": F.lag("nr").over(of_key), "next": F.lead("nr").over(of_key)})
+    rows = rows.withColumns({"last": F.lag("nr").over(of_key), "next": F.lead("nr").over(of_key)})
     added = F.col("last").isNull() | (F.col("last") < F.col("nr") - 1)
     gone = F.col("next_id").isNotNull() & (F.col("next").isNull() | (F.col("next") > F.col("nr") + 1))
     events = F.array(

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def utc(t: datetime | None) -> datetime | None:
-    """Times without zone are UTC."""
-    return t.replace(tzinfo=timezone.utc) if t is not None and t.tzinfo is None else t
+    """The time in UTC, which times without zone are in already."""
+    return t if t is None else t.replace(tzinfo=timezone.utc) if t.tzinfo is None else t.astimezone(timezone.utc)
 
 
 def between(column: str, low, high) -> Column:
@@ -44,4 +44,5 @@ def prefix_scan(df: DataFrame, part: str, column: str, low, high) -> DataFrame:
 
 
 def in_years(df: DataFrame, first: int = 2012, last: int = 2020) -> DataFrame:
-    return df.where(F.year("timestamp").between(first, last))
+    """Rows of these years, by bounds that reach the scan."""
+    return df.where((F.col("timestamp") >= F.lit(datetime(first, 1, 1)).cast(df.schema["timestamp"].dataType)) & (F.col("timestamp") < F.lit(datetime(last + 1, 1, 1)).cast(df.schema["timestamp"].dataType)))

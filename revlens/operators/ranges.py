@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
+
 #: Rows of a range table that is broadcast for a lookup.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000
 
 
 def overlaps(ranges: DataFrame) -> DataFrame:
@@ -16,20 +18,27 @@ def overlaps(ranges: DataFrame) -> DataFrame:
 
 
 def point_lookup(points: DataFrame, key: str, ranges: DataFrame, rows: int | None = None) -> DataFrame:
-    """Each point with the value of the range that holds it; points in no range are left out.
+    """Each point with the value of the range that holds it; points in no range are left out, as are those with null.
 
-    A small range table (its rows are counted, or given) is broadcast; for a larger one, both sides are sorted together
-    by key in page ranges, and each point takes the last start before it.
+    A range table of up to BROADCAST_ROWS rows (they are counted, or given) is broadcast. With a larger one, both sides are
+    sorted together by key in ranges of about equal size, and each point takes the last start before it; what a range of
+    keys begins with comes as one row from those before it.
     """
     if (ranges.count() if rows is None else rows) <= BROADCAST_ROWS:
         r = F.broadcast(ranges.select(F.col("start").alias("_start"), F.col("stop").alias("_stop"), "value"))
         return points.join(r, (F.col(key) >= F.col("_start")) & (F.col(key) < F.col("_stop"))).drop("_start", "_stop")
-    # ranges don't overlap: each is cut into cells of the typical width, so that a lookup is an equi-join on the cell
-    width = max(1, int(ranges.agg(F.percentile_approx(F.col("stop") - F.col("start"), 0.5)).first()[0]))
-    cells = ranges.select("*", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))).alias("_cell"))
-    cells = cells.select(F.col("start").alias("_start"), F.col("stop").alias("_stop"), "value", "_cell")
-    placed = points.withColumn("_cell", F.floor(F.col(key) / width)).join(cells, "_cell")
-    return placed.where((F.col(key) >= F.col("_start")) & (F.col(key) < F.col("_stop"))).drop("_cell", "_start", "_stop")
+    spark = points.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = ranges.select(F.col("start").cast("bigint").alias("_key"), F.lit(0).alias("_kind"), F.struct("start", "stop", "value").alias("_range"), F.lit(None).cast(points.schema).alias("_point"))
+    asked = points.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_key"), F.lit(1).alias("_kind"), F.lit(None).cast(held.schema["_range"].dataType).alias("_range"), F.struct(*points.columns).alias("_point"))
+    both = written(held.union(asked).repartitionByRange(n, "_key", "_kind").withColumn("_part", F.spark_partition_id()), "lookup")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    carried = both.groupBy("_part").agg(F.max_by("_range", F.when(F.col("_kind") == 0, F.col("_key"))).alias("_last"))
+    carried = carried.select("_part", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+    running = Window.partitionBy("_part").orderBy("_key", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_of", F.last("_range", ignorenulls=True).over(running)).where("_kind = 1")
+    found = found.join(F.broadcast(carried), "_part").withColumn("_of", F.coalesce("_of", "_carry")).where("_key < _of.stop")  # as many rows as parts
+    return found.select("_point.*", F.col("_of.value").alias("value"))
 
 
 def overlapping(ranges: DataFrame, start: int | None, stop: int | None) -> DataFrame:
@@ -58,7 +67,9 @@ def without_range(ranges: DataFrame, start: int, stop: int) -> DataFrame:
 
 
 def has_key(points: DataFrame, key: str, ranges: DataFrame) -> DataFrame:
-    return points.join(ranges.select("start", "stop"), (F.col(key) >= F.col("start")) & (F.col(key) < F.col("stop")), "left_semi")
+    """The points that a range of the map holds."""
+    packed = points.select(F.struct(*points.columns).alias("_row"), F.col(key).alias("_at"))
+    return point_lookup(packed, "_at", ranges.select("start", "stop", F.lit(1).alias("value"))).select("_row.*")
 
 
 def common_files(a: DataFrame, b: DataFrame, order: str) -> DataFrame:

@@ -8,11 +8,12 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.delta import delta
+from ..operators.delta import edges, flattened, gathered
 from ..operators.filters import select_revisions, utc
 from ..operators.layout import write_by_page, write_by_time
 from ..operators.rdf import convert
 from ..sources.dumps import read_dump
+from .storage import written
 
 
 @dataclass
@@ -65,9 +66,11 @@ class Engine:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def build(self, dump: str, version: str, last_month: str | None = None, sites: Column | None = None, pages: int = 100_000) -> Dataset:
-        """From XML dumps to both layouts; what is there already stays."""
+        """From XML dumps to both layouts; what is there already stays. Dumps are read and converted once, into the shared folder."""
         by_page = f"{self.folder}/{version}/by_page"
-        write_by_page(delta(convert(read_dump(self.spark, dump), sites)), by_page, pages)
+        states = written(convert(read_dump(self.spark, dump), sites).where(F.col("triples").isNotNull()), "states")
+        revisions = states.drop("triples")
+        write_by_page(gathered(revisions, edges(revisions, flattened(states))), by_page, pages)
         write_by_time(self.spark.read.parquet(by_page).drop("page_range"), f"{self.folder}/{version}/by_time", last_month)
         return self.load(version, pages)
 

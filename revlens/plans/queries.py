@@ -20,6 +20,8 @@ from ..operators import analytics as A
 from ..operators import delta as C
 from ..operators import filters, layout, ranges, rdf, validate
 from ..sources import api, dumps
+from ..streaming import deltas as streaming
+from . import storage
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 WIDTH = 100
@@ -61,7 +63,7 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.edges(revisions(spark, sf_dir), C.distinct_state(flat(spark, sf_dir)))
+    return C.edges(revisions(spark, sf_dir), flat(spark, sf_dir))
 
 
 def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,6 +164,20 @@ def delta_edges(spark, sf_dir):
     return log(spark, sf_dir).drop("object_key")
 
 
+@query(f"WITH {LOG} SELECT page_id, revision_id, op, subject, predicate, object_ FROM log")
+def stream_delta(spark, sf_dir):
+    """The states as a stream of files, to its end."""
+    triple = F.struct("pos", "subject", "predicate", "object_")
+    arrays = flat(spark, sf_dir).groupBy("page_id", "revision_id").agg(F.array_sort(F.collect_list(triple)).alias("t"))
+    none = F.expr("CAST(array() AS array<struct<subject: string, predicate: string, object_: string>>)")
+    triples = F.coalesce(F.transform("t", lambda x: F.struct(x["subject"].alias("subject"), x["predicate"].alias("predicate"), x["object_"].alias("object_"))), none)
+    states = storage.written(revisions(spark, sf_dir).select("page_id", "revision_id").join(arrays, ["page_id", "revision_id"], "left").select("page_id", "revision_id", triples.alias("triples")), "states")
+    to = storage.fresh_dir(spark, "stream")
+    stream = streaming.stream_edges(spark.readStream.schema(states.schema).parquet(states.written_to))
+    stream.writeStream.format("parquet").option("checkpointLocation", to + "-progress").outputMode("append").trigger(availableNow=True).start(to).awaitTermination()
+    return spark.read.schema(streaming.OUT).parquet(to)
+
+
 @query(f"WITH {LOG} SELECT page_id, revision_id, op, predicate, object_ FROM log WHERE object_key = '_:'")
 def delta_blank_nodes(spark, sf_dir):
     return log(spark, sf_dir).where("object_key = '_:'").select("page_id", "revision_id", "op", "predicate", "object_")
@@ -490,3 +506,50 @@ def entity_json_to_triples(spark, sf_dir):
     moved = F.concat(F.lit('{"entity":"Q'), k, F.lit('","redirect":"Q1"}'))
     raw = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("Q"), k).alias("entity_id"), F.lit("wikibase-item").alias("wikibase_model"), F.when(F.col("c_custkey") % 10 == 0, moved).otherwise(item).alias("text"))
     return rdf.convert(raw).select("page_id", F.posexplode("triples").alias("pos", "t")).select("page_id", "pos", "t.*")
+
+
+def _x(value: str, kind: str) -> str:
+    return f"'\"' || {value} || '\"^^<http://www.w3.org/2001/XMLSchema#{kind}>'"
+
+
+_STATEMENT = "'wds:Q' || k || '-s'"
+_ROWS = [
+    ("m IN (0, 1)", "'wd:Q' || k", "'rdf:type'", "'wikibase:Item'"),
+    ("m IN (0, 1)", _STATEMENT, "'rdf:type'", "'wikibase:BestRank'"),
+    ("m IN (0, 1)", "'wd:Q' || k", "'p:P1'", _STATEMENT),
+    ("m IN (0, 1)", _STATEMENT, "'rdf:type'", "'wikibase:Statement'"),
+    ("m IN (0, 1)", _STATEMENT, "'wikibase:rank'", "'wikibase:NormalRank'"),
+    ("m = 0", "'wd:Q' || k", "'wdt:P1'", "'wd:Q' || c_nationkey"),
+    ("m = 0", _STATEMENT, "'ps:P1'", "'wd:Q' || c_nationkey"),
+    ("m = 1", "'wd:Q' || k", "'wdt:P1'", _x("'2001-02-03T00:00:00Z'", "dateTime")),
+    ("m = 1", _STATEMENT, "'ps:P1'", _x("'2001-02-03T00:00:00Z'", "dateTime")),
+    ("m = 1", _STATEMENT, "'psv:P1'", "n"),
+    ("m = 1", "n", "'rdf:type'", "'wikibase:TimeValue'"),
+    ("m = 1", "n", "'wikibase:timeValue'", _x("'2001-02-03T00:00:00Z'", "dateTime")),
+    ("m = 1", "n", "'wikibase:timePrecision'", _x("k", "integer")),
+    ("m IN (0, 1)", _STATEMENT, "'pq:P2'", "'\"' || c_mktsegment || '\"'"),
+    ("m IN (0, 1)", _STATEMENT, "'prov:wasDerivedFrom'", "'wdref:h' || k"),
+    ("m IN (0, 1)", "'wdref:h' || k", "'rdf:type'", "'wikibase:Reference'"),
+    ("m IN (0, 1)", "'wdref:h' || k", "'pr:P3'", "'<http://a.example/' || k || '>'"),
+    ("m = 2", "'wd:P' || k", "'rdf:type'", "'wikibase:Property'"),
+    ("m = 2", "'wd:P' || k", "'wikibase:propertyType'", "'wikibase:ExternalId'"),
+    *[("m = 2", "'wd:P' || k", f"'wikibase:{name}'", f"'{prefix}:P' || k") for name, prefix in rdf.ROLES],
+]
+_TIME = """{"time":"+2001-02-03T00:00:00Z","precision":' || k || '}"""
+
+
+@query(
+    f"WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS m, c_nationkey, c_mktsegment, 'wdv:' || md5('time|{_TIME}') AS n FROM customer) "
+    + " UNION ALL ".join(f"SELECT k AS page_id, {s} AS subject, {p} AS predicate, {o} AS object_ FROM c WHERE {where}" for where, s, p, o in _ROWS)
+)
+def rdf_statements(spark, sf_dir):
+    """Items with a value in one term, others with a value of several parts, properties, and texts that can't be converted."""
+    k = F.col("c_custkey").cast("string")
+    m = F.col("c_custkey") % 4
+    plain = F.concat(F.lit('{"type":"wikibase-entityid","value":{"id":"Q'), F.col("c_nationkey").cast("string"), F.lit('"}}'))
+    parts = F.concat(F.lit('{"type":"time","value":{"time":"+2001-02-03T00:00:00Z","precision":'), k, F.lit("}}"))
+    more = [F.lit('"qualifiers":{"P2":[{"snaktype":"value","property":"P2","datavalue":{"type":"string","value":"'), F.col("c_mktsegment"), F.lit('"}}]},"references":[{"hash":"h'), k, F.lit('","snaks":{"P3":[{"snaktype":"value","property":"P3","datatype":"url","datavalue":{"type":"string","value":"http://a.example/'), k, F.lit('"}}]}}]')]
+    item = F.concat(F.lit('{"type":"item","id":"Q'), k, F.lit('","claims":{"P1":[{"id":"Q'), k, F.lit('$s","rank":"normal","mainsnak":{"snaktype":"value","property":"P1","datavalue":'), F.when(m == 0, plain).otherwise(parts), F.lit("},"), *more, F.lit("}]}}"))
+    text = F.when(m < 2, item).when(m == 2, F.concat(F.lit('{"type":"property","datatype":"external-id","id":"P'), k, F.lit('"}'))).when(F.col("c_custkey") % 8 == 3, F.lit("{"))
+    raw = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("Q"), k).alias("entity_id"), F.when(m == 2, "wikibase-property").otherwise("wikibase-item").alias("wikibase_model"), text.alias("text"))
+    return rdf.convert(raw).select("page_id", F.inline("triples"))

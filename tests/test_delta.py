@@ -52,12 +52,33 @@ def test_one_page_or_a_range(spark):
     assert filters.select_revisions(df, min_revision_id=0, max_revision_id=2).count() == 2
 
 
+def test_large_states_take_their_time_in_proportion(spark):
+    """A page of 30 revisions with 2,000 triples each, of which one goes and one comes."""
+    rows = [(1, r, datetime(2020, 1, 1), [("s", "p", str(x)) for x in range(r, r + 2000)]) for r in range(1, 31)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    log = delta.edges(df.select("page_id", "revision_id", "timestamp"), delta.flattened(df))
+    assert {(r["op"], r["count"]) for r in log.groupBy("op").count().collect()} == {("add", 2029), ("delete", 29)}
+
+
+def test_bounds_with_a_zone_are_taken_in_utc():
+    from datetime import timedelta, timezone
+
+    assert filters.utc(datetime(2020, 2, 1, 5, tzinfo=timezone(timedelta(hours=14)))) == datetime(2020, 1, 31, 15, tzinfo=timezone.utc)
+    assert filters.utc(datetime(2020, 2, 1, 5, tzinfo=timezone(timedelta(hours=14)))).date().month == 1
+
+
 def test_range_map(spark):
     m = spark.createDataFrame([(0, 10, "a"), (10, 20, "b"), (30, 40, "c")], "start bigint, stop bigint, value string")
     points = spark.createDataFrame([(x,) for x in (0, 9, 10, 25, 39, 40)], "k bigint")
     want = {0: "a", 9: "a", 10: "b", 39: "c"}
     assert {r["k"]: r["value"] for r in ranges.point_lookup(points, "k", m).collect()} == want
     assert {r["k"]: r["value"] for r in ranges.point_lookup(points, "k", m, rows=10**9).collect()} == want
+    wide = m.union(spark.createDataFrame([(40, 10**10, "d")], m.schema))
+    far = spark.createDataFrame([(39,), (40,), (10**9,), (10**10,), (None,), (-5,)], "k bigint")
+    for rows in (None, 10**9):
+        assert {r["k"]: r["value"] for r in ranges.point_lookup(far, "k", wide, rows=rows).collect()} == {39: "c", 40: "d", 10**9: "d"}
+        assert ranges.point_lookup(far, "k", m.limit(0), rows=rows).count() == 0
+    assert sorted(r["k"] for r in ranges.has_key(points, "k", m).collect()) == sorted(want)
     with pytest.raises(ValueError):
         ranges.with_range(m, 19, 25, "d")
     assert ranges.with_range(m, 20, 25, "d").count() == 4 and ranges.without_range(m, 0, 10).count() == 2
