@@ -19,8 +19,8 @@ SHRINK = 30.0
 CHARS, WORDS = 600.0, 40.0
 #: Share of the overall variance that is added to each estimate: a group of copies has no variance of its own.
 RIDGE = 0.05
-#: Bins of a doubling of the squared distance, for order statistics.
-BINS = 256
+#: Bins of a doubling of the squared distance, in which a step's sums are taken, and in which a median is.
+STEP_BINS, BINS = 32, 256
 #: Groups whose estimates are broadcast; beyond that, documents and estimates are shuffled by group and one of so many salts.
 BROADCAST_GROUPS, SALTS = 10_000, 64
 CHI_MEDIAN = 3.3567  # of chi square with 4 degrees of freedom
@@ -151,7 +151,7 @@ def concentrated(rows: DataFrame, now: DataFrame, floor: list[float], support: f
     with the fraction that is missing. So a step is one aggregation, whatever the size of a group.
     """
     each = now.groupBy("key").agg(F.collect_list(F.struct("start", "mu", "inverse")).alias("e"))  # as many as there are starts
-    distances = F.transform("e", lambda e: F.struct(e["start"].alias("start"), F.floor(F.log2(squared(e["mu"], e["inverse"]) + 1e-30) * BINS).cast("int").alias("bin")))
+    distances = F.transform("e", lambda e: F.struct(e["start"].alias("start"), F.floor(F.log2(squared(e["mu"], e["inverse"]) + 1e-30) * STEP_BINS).cast("int").alias("bin")))
     sums = attached(rows, each).select("key", *X, F.inline(distances)).groupBy("key", "start", "bin").agg(*_moments("s", [F.col(x) for x in X]))
 
     def step(group: pa.Table) -> pa.Table:
