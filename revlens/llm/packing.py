@@ -35,7 +35,10 @@ def combinations(units: int, depth: int) -> np.ndarray:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 0) -> np.ndarray:
-    """x >= 0 with least |ax - b|, by active sets (Lawson and Hanson)."""
+    """x >= 0 with least |ax - b|, by active sets (Lawson and Hanson).
+
+    After `rounds` (6 for each row by default) it stops where it is, not at the least; plan() is complete with any x.
+    """
     m, n = a.shape
     x, passive = np.zeros(n), np.zeros(n, bool)
     scale = max(1.0, float(np.abs(b).max(initial=0)))

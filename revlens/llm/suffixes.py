@@ -88,7 +88,7 @@ def interleave(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np
     most, a suffix's common prefix with the one before is, known from the round in which the two fell apart.
     """
     every = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms)), [len(t) for t in transforms]).astype(np.uint16)
+    shard = np.repeat(np.arange(len(transforms)), [len(t) for t in transforms]).astype(np.uint16 if len(transforms) <= 1 << 16 else np.uint32)
     n = len(every)
     small = np.uint16 if every.max(initial=0) < 1 << 16 else np.int64
     every = every.astype(small)

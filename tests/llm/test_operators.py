@@ -444,6 +444,12 @@ def test_interleaving_equals_sorting():
         assert n == min(common, 25)
 
 
+def test_more_shards_than_two_bytes_count():
+    n = (1 << 16) + 3
+    order, lcp = suffixes.interleave([np.array([n - i, i]) for i in range(n)], 1)
+    assert len(order) == 2 * n and order.max() == n - 1 and np.bincount(order).tolist() == [2] * n
+
+
 # --- 10: near copies ---
 
 
