@@ -19,7 +19,7 @@ from .common import fresh_dir, local_path, mix, partitions, sliced, word_hashes,
 #: Words of the longest grams: one to predict, and its context.
 ORDER = 3
 #: Bytes of text whose grams a worker counts before they are sent, and scores at once.
-COUNTED, SCORED = 24 << 20, 6 << 20
+COUNTED, SCORED = 36 << 20, 6 << 20
 FIRST, FINAL = "\x00<s>", "\x00</s>"
 #: Stands in a gram for what would be before a text's beginning.
 NONE = word_hashes(["\x00"]) >> np.uint64(16)
