@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import fresh, hash_range, partitions, sliced, written
+from .common import fresh, hash_range, lean, partitions, released, sliced, written
 
 LINES = "h1 bigint, h2 bigint, doc_id bigint, text_md5 string, pos int, n_lines int"
 LINES_ARROW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_md5", pa.string()), ("pos", pa.int32()), ("n_lines", pa.int32())])
@@ -94,13 +94,16 @@ def _bitmaps(docs: DataFrame) -> DataFrame:
     """The rows of line_bitmaps(), and n_rows: how many rows a document has."""
     spark = docs.sparkSession
     n = partitions(spark)
-    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_lines, LINES)
+    lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_lines), LINES)
     ordered = lines.repartitionById(n, hash_range(F.col("h1"), n)).sortWithinPartitions("h1", "h2", "doc_id", "text_md5", "pos")
-    firsts = ordered.mapInArrow(_firsts, "doc_id bigint, text_md5 string, pos int, n_lines int")
+    firsts = ordered.mapInArrow(lean(_firsts), "doc_id bigint, text_md5 string, pos int, n_lines int")
 
     @F.pandas_udf(StringType())
-    def encode(kept: pd.Series, n_lines: pd.Series) -> pd.Series:
-        return pd.Series([runs(k, int(m)) for k, m in zip(kept, n_lines)], dtype=object)
+    def encode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for kept, n in batches:
+            yield pd.Series([runs(k, int(m)) for k, m in zip(kept, n)], dtype=object)
+        kept = n = None
+        released()
 
     line = F.col("pos") != DOCUMENT
     by_doc = firsts.groupBy("doc_id", "text_md5").agg(F.collect_set(F.when(line, F.col("pos"))).alias("kept"), F.max(F.when(~line, F.col("n_lines"))).alias("n_lines"), F.count_if(~line).alias("n_rows"))
@@ -125,8 +128,11 @@ def line_bitmaps(docs: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(StringType())
-def _apply(text: pd.Series, keep: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else "\n".join(x for x, b in zip(t.split("\n"), bits(k)) if b) for t, k in zip(text, keep)], dtype=object)
+def _apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for text, keep in batches:
+        yield pd.Series([None if t is None else "\n".join(x for x, b in zip(t.split("\n"), bits(k)) if b) for t, k in zip(text, keep)], dtype=object)
+    text = keep = None
+    released()
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:

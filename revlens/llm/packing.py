@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, sliced, written
+from .common import lean, partitions, sliced, written
 from .tokens import TOKENIZER, counter
 
 WINDOW, STEP, DEPTH = 2048, 16, 3
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, window: int = WINDOW, step: int = STEP, depth: int = D
             lengths = tokens(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.where(lengths > 0, lengths + 1, 0), pa.int64())], names=["doc_id", "n"])
 
-    lengths = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "doc_id bigint, n bigint").where("n > 0")
+    lengths = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(count), "doc_id bigint, n bigint").where("n > 0")
     pieces = lengths.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(window).cast("bigint"))).alias("start"))
     size = F.least(F.lit(window).cast("bigint"), F.col("n") - F.col("start"))
     pieces = pieces.select("doc_id", "start", size.alias("n_tokens"), F.ceil(size / step).cast("int").alias("unit"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("part"))
@@ -162,4 +162,4 @@ def pack(docs: DataFrame, window: int = WINDOW, step: int = STEP, depth: int = D
     inside = Window.partitionBy("unit", "part").orderBy("doc_id", "start", "n_tokens")
     placed = pieces.withColumn("nr", F.row_number().over(inside) - 1).join(offsets, ["unit", "part"])
     placed = placed.select("unit", (F.col("nr") + F.col("offset")).cast("bigint").alias("nr"), "doc_id", "start", "n_tokens")
-    return placed.mapInArrow(assign, "bin bigint, slot int, doc_id bigint, start bigint, n_tokens bigint")
+    return placed.mapInArrow(lean(assign), "bin bigint, slot int, doc_id bigint, start bigint, n_tokens bigint")

@@ -13,6 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from comparing import rows_of, sql_rows  # noqa: E402
 
 from revlens.llm import chat, line_dedup, mixing, ngram, packing, quality, queries, secret_scan, simhash, suffixes, vafile  # noqa: E402
+from revlens.llm.common import lean  # noqa: E402
 from revlens.llm.components import components  # noqa: E402
 from revlens.llm.tokens import counter  # noqa: E402
 
@@ -606,3 +607,22 @@ def test_very_long_text(spark):
     got = {x["doc_id"]: (x["start"], x["end"]) for x in suffixes.repeats(docs).collect()}
     assert got == {1: (100_000, 100_070), 2: (1, 71)}
     assert {x["doc_id"]: x["n_words"] for x in ngram.perplexities(docs).collect()} == {1: 100_120, 2: 71}
+
+
+def resident():
+    return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+
+def test_workers_give_memory_back():
+    """Between tasks a worker holds no more than before; what is freed below a small block in use stayed before."""
+    pins = []
+
+    def work(batches):
+        held = [np.ones(8000) for _ in range(3000)]
+        pins.append(np.ones(8000))
+        yield from batches
+        held.clear()
+
+    before = resident()
+    assert len(list(lean(work)(iter([1, 2])))) == 2
+    assert resident() - before < 40e6
