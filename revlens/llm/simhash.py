@@ -12,17 +12,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, hash_range, mix, sliced, word_hashes, words, written
+from .common import discard, fresh, hash_range, lean, mix, sliced, word_hashes, words, written
 from .components import components
 
 #: Bits of a signature that near copies may differ in; share of words that they have in common at least.
 BITS, RADIUS, SHARE = 128, 30, 0.6
 #: Nodes of a shard, about: at most (what a task holds), and at least where there are tasks enough for more shards.
 SHARD, LEAST = 1 << 18, 1 << 16
+#: Words whose lanes are summed at once; fewer than a lane of 16 bits counts to.
+COUNTED = 60_000
 #: Orders of a shard's signatures, neighbours compared to either side in each, links to near nodes, beam to begin with and at its widest.
 ORDERS, WINDOW, LINKS, BEAM, WIDEST = 128, 1, 8, 8, 64
 #: Signatures that are audited by exact search at first and at most, and the recall asked of the search.
 AUDITED, MOST_AUDITED, RECALL = 256, 4096, 0.95
+#: Audited signatures that are compared to a batch at once.
+COMPARED = 32
 #: Near copies of a signature in a small group, at most; so many of such signatures are to be audited.
 SMALL, ENOUGH = 8, 256
 #: Bits that an order sorts by; queries of a block, about, where there are so many.
@@ -39,18 +43,16 @@ EDGES = "a bigint, b bigint, nr int"
 def _simhashes(hashes: np.ndarray, word: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The majority of each bit among the words of each document, by sums of 16-bit lanes, four in an integer."""
     lanes = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.uint16).view(np.uint64)
-    sizes = ends - starts
-    out = np.zeros(len(starts), np.uint64)
-    if len(starts):
-        most = 60_000  # words that a lane counts
-        votes = np.empty((len(starts), 64), np.int64)
-        if sizes.max() <= most:
-            votes[:] = np.add.reduceat(lanes[word], starts, axis=0).view(np.uint16)
+    votes = np.empty((len(starts), 64), np.int64)
+    a, most = 0, COUNTED
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + most, side="right")))
+        if ends[b - 1] - starts[a] <= most:
+            votes[a:b] = np.add.reduceat(lanes[word[starts[a] : ends[b - 1]]], starts[a:b] - starts[a], axis=0).view(np.uint16)
         else:
-            for i, (a, b) in enumerate(zip(starts, ends)):
-                votes[i] = sum(lanes[word[x : min(b, x + most)]].sum(axis=0, dtype=np.uint64).view(np.uint16).astype(np.int64) for x in range(a, b, most))
-        out[:] = np.packbits(2 * votes > sizes[:, None], axis=1).reshape(-1).view(">u8")
-    return out
+            votes[a] = sum(lanes[word[x : min(ends[a], x + most)]].sum(axis=0, dtype=np.uint64).view(np.uint16).astype(np.int64) for x in range(starts[a], ends[a], most))
+        a = b
+    return np.packbits(2 * votes > (ends - starts)[:, None], axis=1).reshape(-1).view(">u8").astype(np.uint64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +195,7 @@ def _linked(h: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, ra
     for a in range(0, len(q) if len(ids) else 0, 1 << 12):
         mine, width, start = np.arange(a, min(len(q), a + (1 << 12))), BEAM, None
         while len(mine):
-            step = max(1, (1 << 15) // width)
+            step = max(1, (1 << 14) // width)
             found = np.concatenate([graph.search(q[mine[x : x + step]], own[mine[x : x + step]], width, None if start is None else start[x : x + step]) for x in range(0, len(mine), step)])
             full = found[:, -1] >> 32 <= radius
             done = ~full if width < WIDEST else np.ones(len(mine), bool)
@@ -247,8 +249,8 @@ def candidates(nodes: DataFrame, radius: int = RADIUS, orders: int = ORDERS) ->
             yield _edges(_linked(h[role == 0], ids[role == 0], h[role == 1], ids[role == 1], radius, orders))
 
     placed = nodes.select("id", "h1", "h2", hash_range(F.col("id"), shards).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    cells = placed.mapInArrow(route, "cell int, role int, id bigint, h1 bigint, h2 bigint").repartitionById(shards * blocks, F.col("cell"))
-    return cells.mapInArrow(link, EDGES).groupBy("a", "b").agg(F.min("nr").alias("nr"))
+    cells = placed.mapInArrow(lean(route), "cell int, role int, id bigint, h1 bigint, h2 bigint").repartitionById(shards * blocks, F.col("cell"))
+    return cells.mapInArrow(lean(link), EDGES).groupBy("a", "b").agg(F.min("nr").alias("nr"))
 
 
 def every_pair(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -281,7 +283,7 @@ def every_pair(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 out.append(np.stack((np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64))))
         return pa.Table.from_batches([_edges(out)])
 
-    return placed.mapInArrow(route, "cell bigint, block int, id bigint, h1 bigint, h2 bigint, component bigint").groupBy("cell").applyInArrow(compare, EDGES).distinct()
+    return placed.mapInArrow(lean(route), "cell bigint, block int, id bigint, h1 bigint, h2 bigint, component bigint").groupBy("cell").applyInArrow(compare, EDGES).distinct()
 
 
 def similar(x: bytes, y: bytes, share: float) -> bool:
@@ -307,7 +309,7 @@ def verified(signed: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = signed.select("id", "words").join(needed, "id", "left_semi").groupBy("id").agg(F.first("words").alias("words"))
     sides = [sets.select(F.col("id").alias(x), F.col("words").alias("words_" + x)) for x in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "words_a", "words_b").mapInArrow(check, "a bigint, b bigint")
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "words_a", "words_b").mapInArrow(lean(check), "a bigint, b bigint")
 
 
 def _labelled(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -353,11 +355,11 @@ def audit(signed: DataFrame, nodes: DataFrame, groups: DataFrame, radius: int, s
             for batch in batches:
                 ids, h1, h2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "h1", "h2"))
                 h = _pair(h1, h2)
-                for k in range(0, len(q), AUDITED):
-                    x, y = np.nonzero(distance(q[k : k + AUDITED][:, None], h[None]) <= radius)
+                for k in range(0, len(q), COMPARED):
+                    x, y = np.nonzero(distance(q[k : k + COMPARED][:, None], h[None]) <= radius)
                     yield pa.RecordBatch.from_arrays([pa.array(sample[x + k, 0]), pa.array(ids[y])], names=["a", "b"])
 
-        true = verified(signed, nodes.mapInArrow(compare, "a bigint, b bigint"), share)
+        true = verified(signed, nodes.mapInArrow(lean(compare), "a bigint, b bigint"), share)
         each = _labelled(true, groups).groupBy("a").agg(F.count("*").alias("n"), F.count_if(F.col("of_a") == F.col("of_b")).alias("hit"))
         found = each.groupBy((F.col("n") <= SMALL).alias("small")).agg(F.count("*").alias("n"), F.avg(F.col("hit") / F.col("n")).alias("recall")).collect()
         if audited >= MOST_AUDITED or len(sample) < audited or sum(r["n"] for r in found if r["small"]) >= ENOUGH:
@@ -369,7 +371,7 @@ def _members(docs: DataFrame, radius: int, share: float) -> DataFrame:
     """(doc_id, body, component) of each distinct document (doc_id and hash of the text) with a word; a written table."""
     text = F.col("text").cast("string")
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("body"), text.alias("text"))
-    signed = written(base.mapInArrow(_signatures, "doc_id bigint, body bigint, id bigint, h1 bigint, h2 bigint, words binary"), "simhash")
+    signed = written(base.mapInArrow(lean(_signatures), "doc_id bigint, body bigint, id bigint, h1 bigint, h2 bigint, words binary"), "simhash")
     nodes = written(signed.select("id", "h1", "h2").groupBy("id").agg(F.min("h1").alias("h1"), F.min("h2").alias("h2")), "simhash")
     orders = ORDERS
     while True:

@@ -2,6 +2,7 @@
 
 import random
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -609,6 +610,22 @@ def test_very_long_text(spark):
     assert {x["doc_id"]: x["n_words"] for x in ngram.perplexities(docs).collect()} == {1: 100_120, 2: 71}
 
 
+def test_simhash_sums_are_bounded():
+    """The lanes of all words at once took 128 bytes for each word of a slice."""
+    n, r = 400_000, np.random.default_rng(1)
+    hashes, word = r.integers(0, 1 << 63, 1000).astype(np.uint64), r.integers(0, 1000, n)
+    for starts in (np.arange(0, n, 100), np.array([0, 1, 70_000, *range(200_000, n, 100)])):  # also more words than are summed at once
+        ends = np.append(starts[1:], n)
+        tracemalloc.start()
+        got = simhash._simhashes(hashes, word, starts, ends)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 20e6
+        for i in (0, 1, 2, 3, len(starts) - 1):
+            bits = np.unpackbits(hashes[word[starts[i] : ends[i]]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            assert int(got[i]) == int("".join("01"[int(x)] for x in 2 * bits.sum(axis=0, dtype=int) > len(bits)), 2)
+
+
 def resident():
     return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
 
