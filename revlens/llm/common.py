@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -65,6 +67,14 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def shuffles_released(spark: SparkSession) -> None:
+    """Shuffle files that no query needs any more are deleted now, not when the driver happens to collect its garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def released() -> None:
     """What this process has freed goes back to the system, where its C library can do that."""
     pa.default_memory_pool().release_unused()

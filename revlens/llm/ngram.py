@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, local_path, mix, partitions, sliced, word_hashes, words, written
+from .common import discard, fresh_dir, lean, local_path, mix, partitions, shuffles_released, sliced, word_hashes, words, written
 
 #: Words of the longest grams: one to predict, and its context.
 ORDER = 3
@@ -58,7 +58,7 @@ def _grams(codes: np.ndarray, offsets: np.ndarray, size: int, order: int) -> tup
     within = np.arange(len(right)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     columns = [right]
     for back in range(1, order):
-        left = np.full(len(right), size + 2)
+        left = np.full(len(right), size + 2, right.dtype)
         left[back:] = right[: max(0, len(right) - back)]
         left[within == back - 1] = size
         left[within < back - 1] = size + 2
@@ -208,7 +208,8 @@ class Model:
     def find(self, what: str, ranges: np.ndarray, keys: np.ndarray, width: int = 1) -> np.ndarray:
         """The values of keys, 0 where there is none: of grams their counts, of contexts (width 4) see _context_codes()."""
         out = np.zeros((len(keys), width), np.float64)
-        order = np.lexsort((keys, ranges))
+        bits = np.uint64(self.n.bit_length())
+        order = np.argsort(ranges.astype(np.uint64) << (np.uint64(64) - bits) | keys >> bits)  # about in order of keys, in each range
         edges = np.searchsorted(ranges[order], np.arange(self.n + 1))
         for i in np.flatnonzero(np.diff(edges)):
             if (stored := self.array(f"{what}-{i}")) is None:
@@ -271,7 +272,8 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
     Grams are counted in slices, sent in blocks to ranges of their contexts' hashes, and merged there: counts, the contexts'
     totals and numbers of continuations with counts 1, 2 and more. From there the grams without their first words go to
     ranges of their own, with the number of different words before them, and so on down to single words; grams at a
-    text's beginning, which nothing is before, keep their counts. Only counts of counts come to the driver.
+    text's beginning, which nothing is before, keep their counts. Only counts of counts come to the driver. Between levels
+    the blocks are written, so that a level's shuffle files are deleted before those of the next are there.
     """
     if order < 2:
         raise ValueError("order must be 2 at least")
@@ -284,7 +286,7 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
         for batch in sliced(batches, "text", COUNTED):
             vocabulary, codes, offsets = words(batch.column("text"))
             h = np.concatenate((_hashes(vocabulary), NONE))
-            columns = _grams(codes, offsets, len(vocabulary), order)[0]
+            columns = _grams(codes.astype(np.int32), offsets, len(vocabulary), order)[0]
             starts, counts, at = _distinct(_joined(columns, len(h)))
             columns = [c[at[starts]] for c in columns]
             for i, b in _blocks(columns, h, counts, _range(_keys([h[c] for c in columns])[0], n), n):
@@ -327,12 +329,18 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*sent), (pa.int32(), pa.binary(), pa.list_(pa.int64())))], names=["part", "b", "n"])
 
     kinds = "part int, b binary, n array<bigint>"
-    blocks = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, kinds)
+    blocks = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(count), kinds)
     for k in range(order, 0, -1):
-        blocks = blocks.repartitionById(n, F.col("part")).mapInArrow(functools.partial(merge, k), kinds)
+        sent = blocks
+        blocks = sent.repartitionById(n, F.col("part")).mapInArrow(lean(functools.partial(merge, k)), kinds)
+        if k > 1:  # what was sent is not on disk any more while the next level is merged
+            blocks = written(blocks, "ngram-blocks")
+            discard(sent)
+            shuffles_released(spark)
     levels = {k: [0] * 5 for k in range(1, order + 1)}
     for row in blocks.where("n IS NOT NULL").groupBy(F.col("n")[0].alias("k")).agg(*(F.sum(F.col("n")[i]) for i in range(1, 6))).collect():
         levels[row[0]] = list(row[1:])
+    discard(sent)
     return Model(folder, n, list(levels.values()))
 
 
@@ -355,7 +363,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             none = n == 0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(np.round(total, 4), mask=none), pa.array(np.round(np.exp(-total / (n + 1)), 2), mask=none)], names=["doc_id", "n_words", "log_probability", "perplexity"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id bigint, n_words bigint, log_probability double, perplexity double")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(score), "doc_id bigint, n_words bigint, log_probability double, perplexity double")
 
 
 def perplexities(docs: DataFrame, order: int = ORDER) -> DataFrame:

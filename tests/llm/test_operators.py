@@ -643,3 +643,23 @@ def test_workers_give_memory_back():
     before = resident()
     assert len(list(lean(work)(iter([1, 2])))) == 2
     assert resident() - before < 40e6
+
+
+def test_language_model_keeps_one_level_on_disk(spark, monkeypatch):
+    """The shuffle files and blocks of a level are gone when the next one is merged, and all of them at the end."""
+    docs = spark.createDataFrame([(i, f"a b c w{i % 7} d") for i in range(40)], "doc_id bigint, text string")
+    tracker, live, tables = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker(), [], []
+    release, write = ngram.shuffles_released, ngram.written
+
+    def released(s):
+        full = tracker.shuffleStatuses().size()
+        release(s)
+        live.append((full, tracker.shuffleStatuses().size()))
+
+    monkeypatch.setattr(ngram, "shuffles_released", released)
+    monkeypatch.setattr(ngram, "written", lambda df, tag: tables.append(write(df, tag)) or tables[-1])
+    release(spark)
+    before = tracker.shuffleStatuses().size()
+    ngram.fit(docs, 3)
+    assert [full > after for full, after in live] == [True, True] and live[-1][1] <= before
+    assert len(tables) == 2 and not any(Path(ngram.local_path(t.written_to)).exists() for t in tables)
