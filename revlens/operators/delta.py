@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.triples import distinct_triples, object_key
@@ -54,22 +54,43 @@ def edges(revisions: DataFrame, state: DataFrame) -> DataFrame:
     The numbers, one row for each revision, are joined to the triples, and these go once to partitions of (page, triple),
     where equal ones of a revision meet and runs are found; no page's whole state is ever held.
     """
+    return numbered_edges(state.join(numbered(revisions), ["page_id", "revision_id"]))
+
+
+def numbered(revisions: DataFrame) -> DataFrame:
+    """(page_id, revision_id, timestamp, nr, next_id, next_time): revisions with their number and the one after them on their page."""
     page = Window.partitionBy("page_id").orderBy("revision_id")
-    numbered = revisions.select("page_id", "revision_id", "timestamp", F.row_number().over(page).alias("nr"), F.lead("revision_id").over(page).alias("next_id"), F.lead("timestamp").over(page).alias("next_time"))
-    rows = state.withColumn("object_key", object_key(F.col("object_"))).join(numbered, ["page_id", "revision_id"]).repartition("page_id", *KEY)
-    if "pos" in state.columns:
-        rest = ["nr", "revision_id", "timestamp", "next_id", "next_time"]
-        rows = rows.groupBy("page_id", *KEY, *rest).agg(F.min_by("object_", "pos").alias("object_"))
-    of_key = Window.partitionBy("page_id", *KEY).orderBy("nr")
-    rows = rows.withColumns({"last": F.lag("nr").over(of_key), "next": F.lead("nr").over(of_key)})
-    added = F.col("last").isNull() | (F.col("last") < F.col("nr") - 1)
-    gone = F.col("next_id").isNotNull() & (F.col("next").isNull() | (F.col("next") > F.col("nr") + 1))
-    events = F.array(
-        F.when(added, F.struct(F.lit("add").alias("op"), F.col("revision_id").alias("at"), F.col("timestamp").alias("time"))),
-        F.when(gone, F.struct(F.lit("delete").alias("op"), F.col("next_id").alias("at"), F.col("next_time").alias("time"))),
-    )
-    out = rows.select("page_id", "subject", "predicate", "object_", "object_key", F.explode(F.array_compact(events)).alias("e"))
-    return out.select("page_id", F.col("e.at").alias("revision_id"), F.col("e.time").alias("timestamp"), F.col("e.op").alias("op"), "subject", "predicate", "object_", "object_key")
+    return revisions.select("page_id", "revision_id", "timestamp", F.row_number().over(page).alias("nr"), F.lead("revision_id").over(page).alias("next_id"), F.lead("timestamp").over(page).alias("next_time"))
+
+
+def numbered_edges(rows: DataFrame) -> DataFrame:
+    """As edges(), of triples that have the columns of numbered() already."""
+    out = with_changes(rows).withColumn("op", F.explode(F.when(F.col("added") & F.col("gone"), ops("add", "delete")).when(F.col("added"), ops("add")).when(F.col("gone"), ops("delete"))))
+    gone = F.col("op") == "delete"
+    at, time = [F.when(gone, F.col(b)).otherwise(F.col(a)) for a, b in (("revision_id", "next_id"), ("timestamp", "next_time"))]
+    return out.select("page_id", at.alias("revision_id"), time.alias("timestamp"), "op", "subject", "predicate", "object_", "object_key")
+
+
+def ops(*names: str) -> Column:
+    return F.array(*[F.lit(x) for x in names])
+
+
+def with_changes(rows: DataFrame, marks: tuple[str, ...] = ()) -> DataFrame:
+    """Numbered triples, of equal ones of a revision the first, with object_key, added and gone (after this revision).
+
+    Rows that have something in a column of marks are no triples and stay. One shuffle and one sort serve all; both go by a
+    hash of page and triple first, so that few comparisons look at the strings.
+    """
+    key = object_key(F.col("object_"))
+    found = rows.withColumn("_hash", F.xxhash64("page_id", "subject", "predicate", key, *marks)).repartition("_hash").withColumn("object_key", key)
+    same = Window.partitionBy("_hash", "page_id", *KEY, *marks).orderBy("nr", *(["pos"] if "pos" in rows.columns else []))
+    first = ~F.lag("nr").over(same).eqNullSafe(F.col("nr"))
+    for m in marks:
+        first = first | F.col(m).isNotNull()
+    found = found.withColumn("_first", first).where("_first").withColumns({"_last": F.lag("nr").over(same), "_next": F.lead("nr").over(same)})
+    added = F.col("_last").isNull() | (F.col("_last") < F.col("nr") - 1)
+    gone = F.col("next_id").isNotNull() & (F.col("_next").isNull() | (F.col("_next") > F.col("nr") + 1))
+    return found.withColumns({"added": added, "gone": gone}).drop("_hash", "_first", "_last", "_next")
 
 
 def gathered(revisions: DataFrame, log: DataFrame) -> DataFrame:

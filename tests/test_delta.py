@@ -109,3 +109,32 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = sorted((r["revision_id"], r["op"], r["object_"]) for r in spark.table("edges").collect())
     assert got == sorted((r, op, t[2]) for r, (gone, new) in WANT.items() for op, ts in (("delete", gone), ("add", new)) for t in ts)
+
+
+def test_stream_started(spark, tmp_path):
+    """Batches of one file each, with late, repeated, empty and unconverted rows and a page that isn't in each, give what the state function gives."""
+    empty, page2 = [(3, 1, None, [])], [(2, 5, None, [A, B]), (2, 4, None, [A])]
+    batches = [states()[:2] + page2[:1], states()[2:4] + empty, states()[4:5] + page2[1:] + [(2, 5, None, None), (2, 6, None, [B, N1])], states()[5:], [(3, 2, None, [N2]), (1, 9, None, [A]), (1, 9, None, [A])], [(2, 7, None, [N2, C])]]
+    kept, want = {}, []
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+        for page in {r[0] for r in batch}:
+            rows = [(r[1], None if r[3] is None else [dict(zip(("subject", "predicate", "object_"), x)) for x in r[3]]) for r in batch if r[0] == page]
+            for out in streaming._step((page,), iter([pd.DataFrame(rows, columns=["revision_id", "triples"])]), kept.setdefault(page, _State())):
+                want += [tuple(r) for r in out.astype(object).where(out.notna(), None).itertuples(index=False)]
+    to = str(tmp_path / "out")
+    for i in range(len(batches)):
+        streaming._batch(spark.read.schema(SCHEMA).parquet(str(tmp_path / "in" / str(i))), i, to)
+    assert {"late", "add", "delete"} == {r[2] for r in want}
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in streaming.log(spark, to).collect())
+
+
+def test_stream_started_has_no_python_workers(spark, tmp_path):
+    """Python's state function took most of the time of large streams."""
+    df = spark.createDataFrame(states(), SCHEMA)
+    df.repartition(3).write.parquet(str(tmp_path / "in"))
+    to = str(tmp_path / "out")
+    query = streaming.start(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), to)
+    query.awaitTermination(120)
+    assert len(list((tmp_path / "out").glob("[0-9]*"))) > 1
+    assert not any(p["stateOperators"] for p in query.recentProgress) and {r["op"] for r in streaming.log(spark, to).collect()} <= {"add", "delete", "late"}
