@@ -175,6 +175,13 @@ def to_triples(text: Column, model: Column, entity_id: Column, sites: Column | N
 
 
 def convert(raw: DataFrame, sites: Column | None = None, schema: bool = False) -> DataFrame:
-    """Raw revisions with triples instead of text; a text is parsed once."""
-    parsed = raw.withColumn("_document", F.from_json("text", ENTITY))
-    return parsed.withColumn("triples", to_triples(F.col("text"), F.col("wikibase_model"), F.col("entity_id"), sites, F.col("_document"), schema)).drop("text", "_document")
+    """Raw revisions with triples instead of text; a text is parsed once.
+
+    Rows are first spread evenly over spark.sql.shuffle.partitions tasks: a row group or an archive, which may hold millions
+    of texts, is one task's otherwise, and to convert a text takes much longer than to shuffle it. Filters on triples (also
+    those that an explode implies) are kept from being pushed below the conversion, which would then be done twice.
+    """
+    spread = raw.repartition(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parsed = spread.withColumn("_document", F.from_json("text", ENTITY))
+    triples = to_triples(F.col("text"), F.col("wikibase_model"), F.col("entity_id"), sites, F.col("_document"), schema)
+    return parsed.withColumn("triples", F.when(F.spark_partition_id() >= 0, triples)).drop("text", "_document")

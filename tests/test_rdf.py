@@ -67,3 +67,19 @@ def test_site_links(spark):
 
     got = triples(spark, {"id": "Q1", "sitelinks": {"a": {"site": "a", "title": "B c"}, "z": {"site": "z", "title": "Z"}}}, sites=F.create_map(F.lit("a"), F.lit("https://a.example/$1")))
     assert got[1:] == [("<https://a.example/B_c>", "schema:about", "wd:Q1")]
+
+
+def test_rows_of_one_file_are_converted_by_all_tasks(spark):
+    from pyspark.sql import functions as F
+
+    raw = spark.range(100).coalesce(1).select(F.concat(F.lit("Q"), "id").alias("entity_id"), F.lit("wikibase-item").alias("wikibase_model"), F.concat(F.lit('{"type":"item","id":"Q'), "id", F.lit('"}')).alias("text"))
+    got = rdf.convert(raw).groupBy(F.spark_partition_id()).agg(F.count("triples").alias("n")).collect()
+    assert len(got) == 4 and {r["n"] for r in got} == {25}
+
+
+def test_filters_do_not_convert_again(spark):
+    from pyspark.sql import functions as F
+
+    raw = spark.createDataFrame([("Q1", "wikibase-item", '{"type":"item","id":"Q1"}')], "entity_id string, wikibase_model string, text string")
+    plan = rdf.convert(raw).where("triples IS NOT NULL").select(F.inline("triples"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("owl:sameAs") == 1
