@@ -96,7 +96,7 @@ def with_changes(rows: DataFrame, marks: tuple[str, ...] = ()) -> DataFrame:
 def gathered(revisions: DataFrame, log: DataFrame) -> DataFrame:
     """The edge log as arrays on its revisions; a revision without a change has empty ones."""
     triple = F.struct("subject", "predicate", "object_")
-    sides = [F.array_sort(F.collect_list(F.when(F.col("op") == op, triple))).alias(name) for op, name in (("delete", "triple_deletions"), ("add", "triple_additions"))]
+    sides = [F.sort_array(F.collect_list(F.when(F.col("op") == op, triple))).alias(name) for op, name in (("delete", "triple_deletions"), ("add", "triple_additions"))]
     arrays = log.groupBy("page_id", "revision_id").agg(*sides)
     empty = F.from_json(F.lit("[]"), "array<struct<subject:string,predicate:string,object_:string>>")
     return revisions.join(arrays, ["page_id", "revision_id"], "left").withColumns({c: F.coalesce(c, empty) for c in ("triple_deletions", "triple_additions")})

@@ -138,3 +138,11 @@ def test_stream_started_has_no_python_workers(spark, tmp_path):
     query.awaitTermination(120)
     assert len(list((tmp_path / "out").glob("[0-9]*"))) > 1
     assert not any(p["stateOperators"] for p in query.recentProgress) and {r["op"] for r in streaming.log(spark, to).collect()} <= {"add", "delete", "late"}
+
+
+def test_equal_triples_take_no_aggregate(spark):
+    """The first of equal triples was found by an aggregate of strings, which sorts by all columns; and numbers were joined to each triple."""
+    from revlens.plans import queries
+
+    plan = queries.QUERIES["delta_json"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan and "array_sort" not in plan and plan.count("Join") == 2
