@@ -84,8 +84,13 @@ def time_between_bins(revisions: DataFrame) -> DataFrame:
 
 def delta_sizes(deltas: DataFrame) -> DataFrame:
     """(side, value, n): how many triples revisions add and delete."""
-    sizes = deltas.select(F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.size(c).cast("bigint").alias("value")) for s, c in (("add", "triple_additions"), ("delete", "triple_deletions"))])).alias("x"))
-    return sizes.groupBy("x.side", "x.value").agg(F.count("*").alias("n"))
+    return count_sizes(deltas.select(F.size("triple_additions").cast("bigint").alias("additions"), F.size("triple_deletions").cast("bigint").alias("deletions")))
+
+
+def count_sizes(counts: DataFrame) -> DataFrame:
+    """As delta_sizes(), of revisions with additions and deletions as numbers, see delta.counted()."""
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("value")) for s, c in (("add", "additions"), ("delete", "deletions"))])
+    return counts.select(F.inline(sides)).groupBy("side", "value").agg(F.count("*").alias("n"))
 
 
 def lifetimes(log: DataFrame) -> DataFrame:

@@ -102,6 +102,13 @@ def gathered(revisions: DataFrame, log: DataFrame) -> DataFrame:
     return revisions.join(arrays, ["page_id", "revision_id"], "left").withColumns({c: F.coalesce(c, empty) for c in ("triple_deletions", "triple_additions")})
 
 
+def counted(revisions: DataFrame, log: DataFrame) -> DataFrame:
+    """(page_id, revision_id, additions, deletions): how many triples each revision adds and deletes; no triples are gathered for that."""
+    n = log.groupBy("page_id", "revision_id").agg(F.count_if(F.col("op") == "add").alias("additions"), F.count_if(F.col("op") == "delete").alias("deletions"))
+    zero = F.lit(0).cast("bigint")
+    return revisions.select("page_id", "revision_id").join(n, ["page_id", "revision_id"], "left").select("page_id", "revision_id", *[F.coalesce(c, zero).alias(c) for c in ("additions", "deletions")])
+
+
 def log_of(deltas: DataFrame) -> DataFrame:
     """The edge log of revisions with arrays."""
 

@@ -140,6 +140,14 @@ def test_stream_started_has_no_python_workers(spark, tmp_path):
     assert not any(p["stateOperators"] for p in query.recentProgress) and {r["op"] for r in streaming.log(spark, to).collect()} <= {"add", "delete", "late"}
 
 
+def test_sizes_are_counted_without_arrays(spark):
+    from revlens.plans import queries
+
+    for name in ("delta_size_hist", "delta_size_bins"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "min_by" not in plan
+
+
 def test_equal_triples_take_no_aggregate(spark):
     """The first of equal triples was found by an aggregate of strings, which sorts by all columns; and numbers were joined to each triple."""
     from revlens.plans import queries
